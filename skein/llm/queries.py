@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import oracles
 from skein.llm.common import short_batches, table
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.html_text import extract_text
 from skein.llm.language import fit_language_model, identify_language, training_rows
 from skein.llm.near_dedup import near_duplicates
 from skein.llm.packing import pack
+from skein.llm.pii import KINDS, find_pii, fit_pii_model
 from skein.llm.url_filter import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -48,11 +50,36 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    found = find_pii(docs, fit_pii_model(docs), keep=["doc_id"])
+
+    def joined(spans: str) -> Column:
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["s"], s["e"]))
+        return F.array_join(parts, ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[number(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(joined("base_spans"), 256).alias("base_sha256"),
+        joined("pii_spans").alias("spans"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     short_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -62,7 +89,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_packing, op3_language_id, op4_decontamination, op6_simhash, op9_exact_dedup, op10_url_filter]
+    found = [
+        op1_packing,
+        op2_pii,
+        op3_language_id,
+        op4_decontamination,
+        op6_simhash,
+        op7_html_text,
+        op9_exact_dedup,
+        op10_url_filter,
+    ]
     return {f.__name__: f for f in found}
 
 
