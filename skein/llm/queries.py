@@ -14,9 +14,11 @@ from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
 from skein.llm.html_text import extract_text
 from skein.llm.language import fit_language_model, identify_language, training_rows
+from skein.llm.lm_score import score_lm
 from skein.llm.near_dedup import near_duplicates
 from skein.llm.packing import pack
 from skein.llm.pii import KINDS, find_pii, fit_pii_model
+from skein.llm.suffix_dedup import remove_repeats
 from skein.llm.url_filter import judge_urls
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +72,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return score_lm(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     short_batches(spark)
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -80,6 +87,11 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -94,8 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_pii,
         op3_language_id,
         op4_decontamination,
+        op5_lm_score,
         op6_simhash,
         op7_html_text,
+        op8_suffix_dedup,
         op9_exact_dedup,
         op10_url_filter,
     ]
