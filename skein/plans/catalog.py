@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import documents, facts, graphs, ranking
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (ranking, documents, graphs, facts)
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for part in PARTS for name, (query, _) in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
