@@ -106,10 +106,10 @@ def audit_prune(events: DataFrame, now: Column, days: int) -> DataFrame:
 
 def table_row_text(row_columns: list[str], title: str) -> Column:
     """A table row as text; empty and null cells are left out."""
-    cells = [
-        F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.concat(F.lit(f"{c}: "), F.col(c).cast("string")))
-        for c in row_columns
-    ]
+    cells = []
+    for name in row_columns:
+        cell = F.col(f"`{name}`").cast("string")
+        cells.append(F.when(F.trim(cell) != "", F.concat(F.lit(f"{name}: "), cell)))
     names = ", ".join(row_columns)
     return F.concat(F.lit(f"Context: {title} | Columns: [{names}] | Data: "), F.concat_ws(" | ", *cells))
 
