@@ -25,3 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def short_batches(spark: SparkSession) -> None:
     """Bound the memory of a Python worker: few rows at a time cross to it."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def fresh_name(frame: DataFrame, name: str) -> str:
+    """``name``, longer if the frame has a column of that name."""
+    while name in frame.columns:
+        name += "_"
+    return name

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import fresh_name
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([A-Za-z][A-Za-z0-9:_-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))",
@@ -197,11 +199,12 @@ def extract_text(
     through whole; repeated rows are extracted each. Columns named like the added are replaced.
     """
     plain = [c for c in (keep if keep is not None else pages.columns) if c not in ("text", "n_chars")]
-    source = pages.select(*[F.col(f"`{c}`") for c in plain], F.col(f"`{html_col}`").alias("_html"))
+    name = fresh_name(pages, "_html")
+    source = pages.select(*[F.col(f"`{c}`") for c in plain], F.col(f"`{html_col}`").alias(name))
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(h) for h in batch["_html"].to_pylist()]
+            texts = [main_text(h) for h in batch[name].to_pylist()]
             arrays = [batch[c] for c in plain]
             arrays += [pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*plain, "text", "n_chars"])

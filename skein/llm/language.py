@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import fresh_name
+
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: Labelled documents of one language that the model learns from, in expectation.
 SAMPLE_PER_LANGUAGE = 10_000
@@ -109,7 +111,7 @@ def fit_language_model(
 
     def count(batches):
         totals = np.zeros((len(languages), BUCKETS), np.int64)
-        index = {name: i for i, name in enumerate(languages)}
+        index = {x: i for i, x in enumerate(languages)}
         for batch in batches:
             for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for buckets in grams(text):
@@ -149,11 +151,12 @@ def identify_language(
     """
     plain = [c for c in (keep if keep is not None else docs.columns) if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in plain], F.col(f"`{text_col}`").alias("_text"))
+    name = fresh_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in plain], F.col(f"`{text_col}`").alias(name))
 
     def run(batches):
         for batch in batches:
-            predicted = shared.value.predict(batch["_text"].to_pylist())
+            predicted = shared.value.predict(batch[name].to_pylist())
             arrays = [batch[c] for c in plain]
             arrays.append(pa.array([p[0] for p in predicted], pa.string()))
             arrays.append(pa.array([p[1] for p in predicted], pa.float64()))

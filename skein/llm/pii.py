@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm.boosting import BoostedTrees
+from skein.llm.common import fresh_name
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rows that the driver gets to take contexts from, and the characters around a place in them.
@@ -308,11 +309,12 @@ def find_pii(
     added = ["base_spans", "pii_spans", *(["redacted"] if redact else [])]
     plain = [c for c in (keep if keep is not None else docs.columns) if c not in added]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in plain], F.col(f"`{text_col}`").alias("_text"))
+    name = fresh_name(docs, "_text")
+    source = docs.select(*[F.col(f"`{c}`") for c in plain], F.col(f"`{text_col}`").alias(name))
 
     def run(batches):
         for batch in batches:
-            texts = batch["_text"].to_pylist()
+            texts = batch[name].to_pylist()
             found = [shared.value.spans(t) for t in texts]
             arrays = [batch[c] for c in plain]
             for k in (0, 1):
@@ -326,8 +328,8 @@ def find_pii(
     fields = [f for c in plain for f in docs.schema.fields if f.name == c]
     kinds = [SPANS_SQL, SPANS_SQL, "string"]
     schema = T.StructType(fields)
-    for name, kind in zip(added, kinds, strict=False):
-        schema = schema.add(name, T.DataType.fromDDL(kind))
+    for column, kind in zip(added, kinds, strict=False):
+        schema = schema.add(column, T.DataType.fromDDL(kind))
     return source.mapInArrow(run, schema)
 
 
