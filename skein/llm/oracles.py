@@ -15,4 +15,114 @@ SELECT t.doc_id, g.keep_id, CAST(g.group_size AS BIGINT) AS group_size,
 FROM t JOIN g ON t.norm = g.norm
 """
 
-SQL = {"op9_exact_dedup": OP9}
+
+#: Runs of digits, a-z after lower-casing A-Z, and non-ASCII characters.
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4 = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+items AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS n FROM items WHERE len(w) > 0),
+spots AS (SELECT item_id, w, n, unnest(range(len(w) - n + 1)) AS i FROM sized),
+windows AS (SELECT DISTINCT n, array_to_string(w[i + 1 : i + n], ' ') AS gram, item_id FROM spots),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM docs, sizes),
+hits AS (
+  SELECT doc_id, i, places.n AS n, item_id
+  FROM places JOIN windows ON windows.n = places.n AND gram = array_to_string(w[i + 1 : i + places.n], ' ')
+),
+covered AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY 1
+),
+owners AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY 1
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
+"""
+
+OP5 = f"""
+WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
+tokens AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
+counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY 1),
+total AS (SELECT sum(n) AS total FROM counts),
+steps AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS words FROM counts GROUP BY n),
+least_count AS (SELECT min(n) AS least FROM steps WHERE words <= 65535),
+named AS (
+  SELECT doc_id, i, CASE WHEN n >= least THEN word END AS word
+  FROM tokens JOIN counts USING (word), least_count
+),
+ones AS (SELECT word, count(*) AS n FROM named GROUP BY 1),
+pairs AS (
+  SELECT doc_id, i, word, i > 0 AS follows, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM named
+),
+twos AS (SELECT before, word, count(*) AS n FROM pairs WHERE follows GROUP BY 1, 2),
+scored AS (
+  SELECT p.doc_id, CASE
+      WHEN NOT follows THEN ln(one.n) - ln(total)
+      WHEN two.n >= 2 THEN ln(two.n) - ln(prior.n)
+      ELSE ln(0.4) + ln(one.n) - ln(total) END AS s
+  FROM pairs p JOIN ones one ON one.word IS NOT DISTINCT FROM p.word
+  LEFT JOIN twos two ON follows AND two.before IS NOT DISTINCT FROM p.before AND two.word IS NOT DISTINCT FROM p.word
+  LEFT JOIN ones prior ON follows AND prior.word IS NOT DISTINCT FROM p.before, total
+),
+sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0), 6) AS log_score,
+       CASE WHEN len(w) > 0 THEN round(s / len(w), 6) END AS mean_log_score
+FROM docs LEFT JOIN sums USING (doc_id)
+"""
+
+OP10 = f"""
+WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+),
+r AS (
+  SELECT *, CASE
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
+    array_to_string(list_transform(string_split(path, '/'), lambda s: CASE
+      WHEN regexp_full_match(s, '[0-9]+') OR length(s) >= 32
+        OR (regexp_full_match(s, '[0-9A-Za-z_%.-]{{6,}}') AND regexp_matches(s, '[0-9]')) THEN '*' ELSE s END), '/') AS template
+  FROM p
+),
+v AS (
+  SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
+    regexp_extract(template, '^/?([^/]*)', 1) AS branch
+  FROM r
+),
+leaves AS (
+  SELECT host, branch, template, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad FROM v GROUP BY ALL
+),
+total AS (SELECT sum(bad) / (sum(n) + 2.0::DOUBLE) AS p FROM leaves),
+across AS (SELECT branch, (sum(bad) + 2.0::DOUBLE * any_value(p)) / (sum(n) + 2.0::DOUBLE) AS p2 FROM leaves, total GROUP BY 1),
+hosts AS (SELECT host, sum(n) AS n1, (sum(bad) + 2.0::DOUBLE * any_value(p)) / (sum(n) + 2.0::DOUBLE) AS p1 FROM leaves, total GROUP BY 1),
+mine AS (SELECT host, branch, sum(bad) AS b0, sum(n) AS n0 FROM leaves GROUP BY ALL),
+smooth AS (
+  SELECT host, branch, n1, p1, (b0 + 2.0::DOUBLE * p2) / (n0 + 2.0::DOUBLE) AS p0
+  FROM mine JOIN across USING (branch) JOIN hosts USING (host)
+),
+priors AS (SELECT host, branch, CASE WHEN n1 > 0 AND abs(p0 - p1) <= 0.1::DOUBLE THEN p1 ELSE p0 END AS prior FROM smooth),
+judged AS (
+  SELECT host, template, (bad + 2.0::DOUBLE * prior) / (n + 2.0::DOUBLE) AS purity FROM leaves JOIN priors USING (host, branch)
+)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+       template, round(purity, 6) AS purity
+FROM v JOIN judged USING (host, template)
+"""
+
+SQL = {
+    "op4_decontamination": OP4,
+    "op5_lm_score": OP5,
+    "op9_exact_dedup": OP9,
+    "op10_url_filter": OP10,
+}

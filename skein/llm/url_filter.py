@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.session import cut_lineage
@@ -42,10 +42,15 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def template_of(path: Column) -> Column:
-    """The path with its variable segments as wildcards: digits, hex strings, long mixed slugs."""
-    numbers = F.regexp_replace(path, r"(?<=/)[0-9]+(?=/|$)", "*")
-    codes = F.regexp_replace(numbers, r"(?<=/)(?=[^/]*[0-9])[0-9A-Za-z_%.-]{6,}(?=/|$)", "*")
-    return F.regexp_replace(codes, r"(?<=/)[^/]{32,}(?=/|$)", "*")
+    """The path with its variable segments as wildcards: numbers, codes (six or more characters
+    with a digit among them) and segments of 32 or more characters."""
+
+    def generalised(segment: Column) -> Column:
+        code = segment.rlike("^[0-9A-Za-z_%.-]{6,}$") & segment.rlike("[0-9]")
+        variable = segment.rlike("^[0-9]+$") | code | (F.length(segment) >= 32)
+        return F.when(variable, "*").otherwise(segment)
+
+    return F.array_join(F.transform(F.split(path, "/", -1), generalised), "/")
 
 
 def judge_urls(
@@ -81,9 +86,8 @@ def judge_urls(
         "path",
         name.alias("rule"),
         verdict.alias("ruled"),
-        F.regexp_extract(template_of(F.col("path")), r"^/?([^/]*)", 1).alias("branch"),
         template_of(F.col("path")).alias("template"),
-    )
+    ).withColumn("branch", F.regexp_extract("template", "^/?([^/]*)", 1))
     # One small row per host and template from here on.
     leaves = cut_lineage(
         parsed.groupBy("host", "branch", "template").agg(
