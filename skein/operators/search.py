@@ -23,22 +23,22 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", id_col: str = "id"
 
 
 class Bm25Index:
-    """Postings, document lengths and term statistics of a corpus, as lazy tables.
+    """Postings (id, term, tf, dl), term statistics and corpus statistics, as lazy tables.
 
-    ``write`` stores them bucketed by term, so that later searches join without a shuffle of the
-    postings; ``load`` reads them back.
+    A posting carries its document's length, so a search joins on the term alone. ``write`` stores
+    the tables bucketed by term: later searches do not shuffle the postings. ``load`` reads them.
     """
 
-    def __init__(self, postings: DataFrame, lengths: DataFrame, terms: DataFrame, stats: DataFrame):
-        self.postings, self.lengths, self.terms, self.stats = postings, lengths, terms, stats
+    def __init__(self, postings: DataFrame, terms: DataFrame, stats: DataFrame):
+        self.postings, self.terms, self.stats = postings, terms, stats
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "id", text_col: str = "text") -> Bm25Index:
         words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-        lengths = words.select("id", F.size("words").cast("long").alias("dl"))
+        lengths = words.select("id", F.size("words").cast("long").alias("dl"), "words")
         postings = (
-            words.select("id", F.explode("words").alias("term"))
-            .groupBy("id", "term")
+            lengths.select("id", "dl", F.explode("words").alias("term"))
+            .groupBy("id", "dl", "term")
             .agg(F.count(F.lit(1)).alias("tf"))
         )
         stats = lengths.agg(
@@ -48,36 +48,30 @@ class Bm25Index:
         n = F.col("n").cast("double")
         idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
         terms = df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
-        return cls(postings, lengths, terms, stats)
+        return cls(postings, terms, stats)
 
     def write(self, name: str, buckets: int = 64) -> None:
         for kind in ("postings", "terms"):
             frame = getattr(self, kind)
             frame.write.mode("overwrite").bucketBy(buckets, "term").saveAsTable(f"{name}_{kind}")
-        self.lengths.write.mode("overwrite").bucketBy(buckets, "id").saveAsTable(f"{name}_lengths")
         self.stats.write.mode("overwrite").saveAsTable(f"{name}_stats")
 
     @classmethod
     def load(cls, spark, name: str) -> Bm25Index:
-        return cls(*(spark.table(f"{name}_{k}") for k in ("postings", "lengths", "terms", "stats")))
+        return cls(*(spark.table(f"{name}_{kind}") for kind in ("postings", "terms", "stats")))
 
     def search(self, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
         """(query_id, id, score, rank) of the documents with a positive score.
 
-        The queries' distinct terms are weighted first, so only their postings are joined.
+        The queries' terms come first: only their postings are counted and joined.
         """
-        wanted = (
-            queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-            .join(self.terms, "term")
-            .select("query_id", "term", "idf")
-        )
-        avgdl = self.stats.select("avgdl")
+        asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        wanted = asked.join(self.terms, "term").select("query_id", "term", "idf")
         tf, dl = F.col("tf"), F.col("dl")
         weight = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
         scored = (
             self.postings.join(wanted, "term")
-            .join(self.lengths, "id")
-            .crossJoin(F.broadcast(avgdl))
+            .crossJoin(F.broadcast(self.stats.select("avgdl")))
             .groupBy("query_id", "id")
             .agg(F.round(F.sum(weight), 6).alias("score"))
             .where("score > 0")
