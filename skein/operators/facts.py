@@ -18,27 +18,28 @@ def succession(facts: DataFrame, tie_seconds: float = 1.0) -> DataFrame:
 
     Within a scope a later fact closes the ones before it: a fact with a successor over
     ``tie_seconds`` later is superseded from then on; of facts within that time none closes the
-    other, both are conflicted. Facts without a scope stay active. Windows over the scope alone.
+    other, both are conflicted. Facts without a scope stay active and take no part in a window.
+    Later facts are looked at from the end of a scope, so that each window only grows.
     """
-    rows = facts.withColumn("_us", micros(F.col("valid_at")))
-    tie = int(tie_seconds * 1_000_000)
-    scope = Window.partitionBy("scope_key").orderBy("_us")
-    later = scope.rangeBetween(tie + 1, Window.unboundedFollowing)
+    at, tie = F.col("_us"), int(tie_seconds * 1_000_000)
+    rows = facts.where("scope_key IS NOT NULL").withColumn("_us", micros(F.col("valid_at")))
+    backwards = Window.partitionBy("scope_key").orderBy(F.desc("_us"))
+    later = backwards.rangeBetween(Window.unboundedPreceding, -(tie + 1))
     order = Window.partitionBy("scope_key").orderBy("_us", "fact_id")
-    far = F.min("_us").over(later)
-    before, after = F.lag("_us").over(order), F.lead("_us").over(order)
-    near = ((F.col("_us") - before) <= tie) | ((after - F.col("_us")) <= tie)
-    last = F.max("valid_at").over(Window.partitionBy("scope_key"))
-    closed_by = F.min("valid_at").over(later)
-    scoped = F.col("scope_key").isNotNull()
-    status = (
-        F.when(~scoped, "active")
-        .when(far.isNotNull(), "superseded")
-        .when(F.coalesce(near, F.lit(False)), "conflicted")
-        .otherwise("active")
+    near = ((at - F.lag("_us").over(order)) <= tie) | ((F.lead("_us").over(order) - at) <= tie)
+    scoped = rows.select(
+        "*",
+        F.min("valid_at").over(later).alias("_closed"),
+        F.coalesce(near, F.lit(False)).alias("_near"),
+        F.max("valid_at").over(Window.partitionBy("scope_key")).alias("_last"),
     )
-    until = F.when(scoped & far.isNotNull(), closed_by).when(F.col("status") == "conflicted", last)
-    return rows.withColumn("status", status).withColumn("invalid_at", until).drop("_us")
+    closed = F.col("_closed").isNotNull()
+    status = F.when(closed, "superseded").when(F.col("_near"), "conflicted").otherwise("active")
+    until = F.when(closed, F.col("_closed")).when(F.col("_near"), F.col("_last"))
+    done = scoped.withColumn("status", status).withColumn("invalid_at", until)
+    free = facts.where("scope_key IS NULL").withColumn("status", F.lit("active"))
+    free = free.withColumn("invalid_at", F.lit(None).cast(facts.schema["valid_at"].dataType))
+    return done.drop("_us", "_closed", "_near", "_last").unionByName(free)
 
 
 def valid_at(when: Column) -> Column:

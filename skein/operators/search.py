@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -79,6 +83,87 @@ class Bm25Index:
         return top_k(scored, k)
 
 
+def bm25_search(
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    id_col: str = "id",
+    text_col: str = "text",
+    k1: float = K1,
+    b: float = B,
+) -> DataFrame:
+    """(query_id, id, score, rank): BM25 of a stated set of queries over all documents, unindexed.
+
+    Two native passes count the documents that hold each query term and the mean length; a third
+    scores whole documents where they lie, in Arrow batches against the broadcast terms, and hands
+    on the k best rows a query and batch. Nothing is shuffled but those and the counts. The set of
+    queries is collected: it is the caller's, not the corpus's.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).toArrow()
+    names, lists = asked["query_id"].combine_chunks(), asked["terms"].to_pylist()
+    wanted: dict[str, list[int]] = {}
+    for number, terms in enumerate(lists):
+        for term in terms:
+            wanted.setdefault(term, []).append(number)
+    schema = queries.select("query_id").schema.add("id", rows.schema["id"].dataType).add("score", "double")
+    n, words = rows.agg(
+        F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens(F.col("text"))).cast("long")), F.lit(0))
+    ).first()
+    vocabulary = rows.sparkSession.createDataFrame([(t,) for t in wanted], "term string")
+    held = rows.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    # as many rows as the queries have terms
+    df = held.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").count().collect()
+    postings = {
+        r.term: (math.log((n - r["count"] + 0.5) / (r["count"] + 0.5) + 1), np.array(wanted[r.term]))
+        for r in df
+    }
+    average = words / n if n else 0.0
+    shared = rows.sparkSession.sparkContext.broadcast((names, postings))
+
+    def score(batches):
+        names, postings = shared.value
+        for batch in slices(batches, len(names)):
+            scores = np.zeros((batch.num_rows, len(names)))
+            for row, text in enumerate(batch["text"].to_pylist()):
+                found = [w for w in SPACE.split((text or "").lower()) if w]
+                norm = k1 * (1 - b + b * len(found) / average) if average else k1
+                for term, tf in Counter(found).items():
+                    posting = postings.get(term)
+                    if posting is not None:
+                        scores[row, posting[1]] += posting[0] * tf * (k1 + 1) / (tf + norm)
+            yield from best_rows(np.round(scores, 6), names, batch["id"], k, schema.names, positive=True)
+
+    return top_k(rows.mapInArrow(score, schema), k)
+
+
+#: What the tokenizer splits at, as Java's white space.
+SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+#: Scores that a task holds at once.
+CELLS = 4_000_000
+
+
+def slices(batches, width: int):
+    """Arrow batches in pieces of at most CELLS / ``width`` rows."""
+    step = max(1, CELLS // max(width, 1))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def best_rows(scores, names, ids, k: int, columns: list[str], positive: bool = False):
+    """The k best of each query of a batch's scores (rows x queries), all ties at the edge kept."""
+    few = min(k, len(scores))
+    if few <= 0:
+        return
+    edge = -np.partition(-scores, few - 1, axis=0)[few - 1]
+    row, query = np.nonzero((scores >= edge) & (scores > 0) if positive else scores >= edge)
+    taken = [names.take(pa.array(query)), ids.take(pa.array(row)), pa.array(scores[row, query])]
+    yield pa.RecordBatch.from_arrays(taken, columns)
+
+
 def matrix(column) -> np.ndarray:
     """A column of equally long lists as a float64 matrix; null lists are zero vectors."""
     lists = column.to_pylist()
@@ -121,19 +206,10 @@ def dense_search(
 
         def score(batches, shared=shared):
             names, against = shared.value
-            for batch in batches:
+            for batch in slices(batches, len(names)):
                 own = matrix(batch["embedding"])
-                if not len(own):
-                    continue
                 scores = np.round((unit_rows(own) if cosine else own) @ against.T, 6)
-                # by score, then place: ids of equal scores at the edge are all kept
-                few = min(k, len(own))
-                edge = -np.partition(-scores, few - 1, axis=0)[few - 1] if few > 0 else np.full(len(names), np.inf)
-                row, query = np.nonzero(scores >= edge)
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(query)), batch["id"].take(pa.array(row)), pa.array(scores[row, query])],
-                    schema.names,
-                )
+                yield from best_rows(scores, names, batch["id"], k, schema.names)
 
         near = rows.mapInArrow(score, schema)
         found = near if found is None else found.unionByName(near)

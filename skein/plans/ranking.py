@@ -68,8 +68,7 @@ def lexical(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     items = table(spark, sf_dir, "benchmark")
     queries = items.select((F.col("item_id") * 50).alias("query_id"), "text")
-    built = search.Bm25Index.build(docs, id_col="doc_id")
-    return built.search(queries, k).select("query_id", "id", "score")
+    return search.bm25_search(docs, queries, k, id_col="doc_id").select("query_id", "id", "score")
 
 
 LEXICAL = INDEX.replace("item_id AS query_id", "item_id * 50 AS query_id")
@@ -87,6 +86,12 @@ def dense(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
 
 @query(f"WITH {INDEX} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 10")
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.bm25_search(table(spark, sf_dir, "documents"), asked(spark, sf_dir), id_col="doc_id")
+
+
+@query(f"WITH {INDEX} SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM bm25 WHERE rank <= 10")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by an index's postings."""
     return index(spark, sf_dir).search(asked(spark, sf_dir))
 
 

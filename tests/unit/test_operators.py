@@ -270,3 +270,13 @@ def test_symbol_search(spark):
     asked = frame(spark, [(1, "load"), (2, "lo")], "query_id int, token string")
     assert rows_of(search.symbol_search(symbols, asked).select("id", "score")) == [(1, 1.0), (2, 0.6)]
     assert rows_of(search.symbol_search(symbols, asked, 1).select("id", "score")) == [(1, 1.0)]
+
+
+def test_bm25_without_an_index_equals_the_index(spark):
+    docs = frame(spark, [(1, "a b b c"), (2, "b c d"), (3, None), (4, ""), (5, "a a a"), (5, "a a a")], "id int, text string")
+    asked = frame(spark, [(1, "a B"), (2, "zzz"), (3, ""), (4, "c c d")], "query_id int, text string")
+    direct = search.bm25_search(docs.where("id < 5"), asked)
+    assert rows_of(direct) == rows_of(search.Bm25Index.build(docs.where("id < 5")).search(asked))
+    assert search.bm25_search(docs, asked, 0).isEmpty()
+    assert search.bm25_search(docs, asked.limit(0)).isEmpty()
+    assert search.bm25_search(docs.limit(0), asked).isEmpty()
