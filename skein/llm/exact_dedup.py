@@ -96,15 +96,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kept = (
         exact_dedup(docs, id_col, text_col)
         .where("kept")
-        .select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
+        .groupBy(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
     )
     own = docs.withColumn("_text_sha", text_hash)
-    return (
-        own.join(
-            kept,
-            own[id_col].eqNullSafe(kept["_keep"]) & (own["_text_sha"] == kept["_sha"]),
-            "left_semi",
-        )
-        .dropDuplicates([id_col, "_text_sha"])
-        .drop("_text_sha")
-    )
+    same = own[id_col].eqNullSafe(kept["_keep"]) & (own["_text_sha"] == kept["_sha"])
+    found = own.join(kept, same)
+    # Only rows that repeat are dealt once more; all others have moved once.
+    once = found.where("_rows = 1")
+    repeated = found.where("_rows > 1").dropDuplicates([id_col, "_text_sha"])
+    return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

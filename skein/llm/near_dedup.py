@@ -261,7 +261,9 @@ def near_duplicates(
     final = distinct.join(named, "fp", "left").select(
         "fp", F.coalesce("component_id", "least").alias("component_id")
     )
-    return marked.join(final, "fp").select(
+    # The second key makes the join deal both sides anew, so that AQE can split a hot fingerprint.
+    again = F.xxhash64("fp").alias("again")
+    return marked.select("*", again).join(final.select("*", again), ["fp", "again"]).select(
         F.col("_id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -24,20 +26,22 @@ PIECES = (
 
 
 class WordIds(dict):
-    """Token ids of words, as little-endian 32-bit bytes, by a tokenizer file.
+    """Token ids of the parts of words, as little-endian 32-bit bytes, by a tokenizer file.
 
-    The vocabulary splits at white space, so a text's ids are its words' ids one after another.
-    Words of Latin-1 characters are split here and only their parts given to the tokenizer's
-    model; all others go through the whole tokenizer. Two generations of ``size`` words bound the
-    memory.
+    The vocabulary drops white space and splits words at fixed places, so a text's ids are its
+    parts' ids one after another. Texts of Latin-1 characters are split here and each part is
+    given to the tokenizer's model once; words with other characters go through the whole
+    tokenizer. Two generations of ``size`` parts bound the memory.
     """
 
     # fixed values: the tokenizer's own splitting pattern, over Latin-1
     PART = re.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9²³¹¼½¾a-zªµºß-öø-ÿ]+"
     )
+    #: Separators that Python takes for white space and the pattern does not; special tokens.
+    SPECIAL = re.compile(r"[\x1c-\x1f]|<\|")
 
-    def __init__(self, path: str, size: int = 200_000):
+    def __init__(self, path: str, size: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,35 +50,40 @@ class WordIds(dict):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.byte_chars = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.parts: dict[str, list[int]] = {}
 
-    def part_ids(self, part: str) -> list[int]:
-        found = self.parts.get(part)
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
         if found is None:
-            if len(self.parts) >= self.size:
-                self.parts.clear()
             spelled = "".join([self.byte_chars[b] for b in part.encode()])
-            found = self.parts[part] = [t.id for t in self.model.tokenize(spelled)]
-        return found
-
-    def __missing__(self, word: str) -> bytes:
-        found = self.old.get(word)
-        if found is None:
-            if "<|" in word or not word.isprintable() or max(word, default=" ") > "\xff":
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            else:
-                ids = []
-                for part in self.PART.findall(word.lower()):
-                    ids += self.part_ids(part)
-            found = np.array(ids, "<u4").tobytes()
+            found = pack_ids([t.id for t in self.model.tokenize(spelled)])
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[word] = found
+        self[part] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        try:
+            text.encode("latin-1")
+            plain = not self.SPECIAL.search(text)
+        except UnicodeEncodeError:
+            plain = False
+        if plain:
+            return b"".join(map(self.__getitem__, self.PART.findall(text.lower())))
+        words = text.replace("\n", " ").split(" ")
+        if len(words) > 1:
+            return b"".join(map(self.encode, words))
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table of words for all tasks that a worker process runs."""
+    return WordIds(path)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -229,7 +238,7 @@ def pack(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         packer = Packer(window, TaskContext.get().partitionId() << 33)
         end = np.array([end_id], "<u4").tobytes()
         names = [x.split()[0] for x in PIECES.split(",")]
