@@ -28,7 +28,8 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i"}
 INLINE |= {"ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong"}
 INLINE |= {"sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-BOILERPLATE = {"nav", "aside", "footer", "form", "button", "dialog", "menu", "head", "fieldset"}
+BOILERPLATE = {"nav", "aside", "footer", "button", "dialog", "menu", "head"}
+FORMS = {"form", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}}
 SELF_CLOSING |= {"td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -60,29 +61,35 @@ class Node:
     linked: bool
 
 
-def furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element holds parts of a page other than its text."""
+def furniture(tag: str, attributes: str, in_article: bool) -> str:
+    """Whether an element holds parts of a page other than its text: "sure" by its tag or because
+    it is hidden, "named" by a name or as a form, which may be a wrapper of the text, or ""."""
     if tag in BOILERPLATE or (tag == "header" and not in_article):
-        return True
+        return "sure"
+    found = "named" if tag in FORMS else ""
     if tag in ("html", "body", "article", "main") or not attributes.strip(" />"):
-        return False
+        return found
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if hidden or (name == "aria-hidden" and value == "true"):
-            return True
+            return "sure"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return "sure"
         if name in ("class", "id", "role"):
             words = set(re.split(r"[^a-z0-9]+", value))
             if words & FURNITURE or (not in_article and words & PAGE_HEADER):
-                return True
-    return False
+                found = "named"
+    return found
 
 
 def text_nodes(html: str) -> list[Node]:
-    """Text outside raw elements and furniture, in page order."""
+    """Text outside raw elements and furniture, in page order. An element that is furniture by
+    name is kept if it has an article or main, or more than half of the page's unlinked text; of
+    a page with a main or just one article, only inside that."""
     nodes: list[Node] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, furniture
+    named: dict[int, bool] = {}  # number, whether in an article or main
+    wrappers: set[int] = set()
+    stack: list[tuple[str, int, bool]] = []  # tag, number, sure furniture
     at = block = count = 0
     length = len(html)
 
@@ -126,8 +133,28 @@ def text_nodes(html: str) -> list[Node]:
         count += 1
         inside = bool(stack) and stack[-1][2]
         in_article = any(s[0] in ("article", "main") for s in stack)
-        stack.append((tag, count, inside or furniture(tag, found[3], in_article)))
-    return nodes
+        kind = furniture(tag, found[3], in_article)
+        stack.append((tag, count, inside or kind == "sure"))
+        if kind == "named":
+            named[count] = in_article
+        if tag in ("article", "main") and not inside:
+            wrappers.update(s[1] for s in stack)
+    if not named:
+        return nodes
+    unlinked: dict[int, int] = defaultdict(int)
+    marked: set[tuple[str, int]] = set()
+    for node in nodes:
+        size = len(node.text.strip())
+        if size and not node.linked:
+            marked.update([s for s in node.path if s[0] in ("article", "main")][:1])
+            for number in {0, *(s[1] for s in node.path if s[1] in named)}:
+                unlinked[number] += size
+    told = len(marked) == 1 or any(s[0] == "main" for s in marked)
+    dropped = {
+        n for n, inner in named.items()
+        if n not in wrappers and (2 * unlinked[n] <= unlinked[0] or (told and not inner))
+    }
+    return [n for n in nodes if not any(s[1] in dropped for s in n.path)]
 
 
 def main_text(html: str | None) -> str:
@@ -136,8 +163,9 @@ def main_text(html: str | None) -> str:
     A tag path is the tags from the root to a block. Of each path the mean text length and the
     mean punctuation of its blocks are taken, smoothed over neighbouring blocks in page order,
     and fused to a score; blocks whose score reaches the page's weighted threshold are content.
-    The innermost element that holds nearly all of it is the article: its headings and its other
-    unlinked blocks belong to it, whatever their length.
+    The outermost article or main that holds nearly all of it, else the innermost element that
+    holds all of it and the top headings, is the article: its headings and its other unlinked
+    blocks belong to it, whatever their length.
     """
     grouped: dict[int, list[Node]] = defaultdict(list)
     for node in text_nodes(html or ""):
@@ -171,16 +199,20 @@ def main_text(html: str | None) -> str:
     if not any(content):
         content = [not b[2] for b in blocks]
     mass: dict[tuple[str, int], float] = defaultdict(float)
-    for chosen, (path, text, _) in zip(content, blocks, strict=True):
+    whole = 0
+    shared: list[tuple[str, int]] | None = None
+    for chosen, (path, text, linked) in zip(content, blocks, strict=True):
         if chosen:
+            whole += len(text)
             for step in path:
                 mass[step] += len(text)
-    whole = sum(len(b[1]) for b, c in zip(blocks, content, strict=True) if c)
-    inside = [step for step, m in mass.items() if m >= 0.9 * whole]
-    article = max(inside, key=lambda step: step[1], default=None)
-    if article and article[0] in {"p", *HEADINGS, "li"}:  # a page of one paragraph
-        inside.remove(article)
-        article = max(inside, key=lambda step: step[1], default=None)
+        if chosen or (not linked and path and path[-1][0] == "h1"):
+            shared = [s for s in (path if shared is None else shared) if s in path]
+    marked = [s for s, m in mass.items() if s[0] in ("article", "main") and m >= 0.9 * whole]
+    if marked:
+        article = min(marked, key=lambda step: step[1])
+    else:
+        article = next((s for s in reversed(shared or []) if s[0] not in {"p", "li", *HEADINGS}), None)
     out = []
     for path, text, linked in blocks:
         heading = bool(path) and path[-1][0] in HEADINGS
