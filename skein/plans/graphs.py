@@ -116,6 +116,24 @@ def graph_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.hops(sparse_edges(spark, sf_dir), seeds, 3)
 
 
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each order to its customer."""
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"),
+        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"),
+    )
+
+
+@query()
+def graph_hops_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk of ``graph_hops`` over all orders, each a node of its own."""
+    seeds = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.concat(F.lit("c"), (F.col("item_id") + 1).cast("string")).alias("node"),
+    )
+    return graph.hops(order_edges(spark, sf_dir), seeds, 3)
+
+
 #: Links of orders to the next of the same customer within a hundred keys: many small components.
 CHAINS = """
 edges AS (
