@@ -32,3 +32,22 @@ def fresh_name(frame: DataFrame, name: str) -> str:
     while name in frame.columns:
         name += "_"
     return name
+
+
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns that have one of ``names`` under names of their own, and what each
+    column is called now. So an operator can add columns of these names and give the input's back:
+    see ``put_back``. Other columns keep their names."""
+    called = {c: c for c in docs.columns}
+    for c in docs.columns:
+        if c in names:
+            new = f"_aside_{c}"
+            while new in docs.columns or new in names:
+                new += "_"
+            called[c] = new
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in called.items()]), called
+
+
+def put_back(frame: DataFrame, called: dict[str, str]) -> DataFrame:
+    """The input's columns alone, under their own names."""
+    return frame.select(*[F.col(f"`{n}`").alias(c) for c, n in called.items()])

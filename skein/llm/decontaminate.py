@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.llm.common import fresh_name, put_back, set_aside
 from skein.session import cut_lineage
 
 WINDOW = 13
@@ -206,6 +207,7 @@ def decontaminate(
     plain = [c for c in (keep if keep is not None else docs.columns) if c not in NAMES]
     automata = item_automata(items, item_id, item_text, window, shard_words)
     carried = list(dict.fromkeys([*plain, text_col]))
+    hits, found_items, size = added = [fresh_name(docs, x) for x in ("_hits", "_items", "_n")]
     state, shards = docs.select(*[F.col(f"`{c}`") for c in carried]), next(automata)
     for number in range(shards):
         shared = spark.sparkContext.broadcast(next(automata))
@@ -213,44 +215,39 @@ def decontaminate(
         out = plain if last else carried
         fields = [f for f in state.schema.fields if f.name in out]
         fields.sort(key=lambda f: out.index(f.name))
-        schema = T.StructType(fields + list(ADDED.fields))
+        schema = T.StructType(fields + [T.StructField(*f) for f in zip(added, ADDED, strict=True)])
 
         def run(batches, shared=shared, out=out):
             automaton = shared.value
             for batch in batches:
                 rows = [judge(automaton, t) for t in batch[text_col].to_pylist()]
-                if "_hits" in batch.schema.names:
-                    before = zip(batch["_hits"].to_pylist(), batch["_items"].to_pylist(), strict=True)
+                if hits in batch.schema.names:
+                    before = zip(batch[hits].to_pylist(), batch[found_items].to_pylist(), strict=True)
                     rows = [join_hits(r, b) for r, b in zip(rows, before, strict=True)]
                 arrays = [batch[c] for c in out]
                 for k, kind in enumerate(ARROW_ADDED):
                     arrays.append(pa.array([r[k] for r in rows], kind))
-                yield pa.RecordBatch.from_arrays(arrays, [*out, *ADDED.names])
+                yield pa.RecordBatch.from_arrays(arrays, [*out, *added])
 
         state = state.mapInArrow(run, schema)
         if not last:
             state = cut_lineage(state)
     n_hit = F.aggregate(
-        "_hits", F.lit(0).cast("long"), lambda total, r: total + (r["e"] - r["s"]).cast("long")
+        hits, F.lit(0).cast("long"), lambda total, r: total + (r["e"] - r["s"]).cast("long")
     )
     return state.select(
         *[F.col(f"`{c}`") for c in plain],
-        F.col("_n").alias("n_words"),
+        F.col(size).alias("n_words"),
         n_hit.alias("n_hit"),
-        F.col("_hits").alias("hit_spans"),
-        F.col("_items").alias("hit_items"),
-        ((n_hit > 0) & (n_hit * coverage_divisor >= F.col("_n"))).alias("contaminated"),
+        F.col(hits).alias("hit_spans"),
+        F.col(found_items).alias("hit_items"),
+        ((n_hit > 0) & (n_hit * coverage_divisor >= F.col(size))).alias("contaminated"),
     )
 
 
-NAMES = ("n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_hits", "_items", "_n")
+NAMES = ("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
 RANGE = T.StructType().add("s", "integer").add("e", "integer")
-ADDED = (
-    T.StructType()
-    .add("_hits", T.ArrayType(RANGE))
-    .add("_items", T.ArrayType(T.StringType()))
-    .add("_n", "long")
-)
+ADDED = (T.ArrayType(RANGE), T.ArrayType(T.StringType()), T.LongType())
 ARROW_ADDED = (
     pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])),
     pa.list_(pa.string()),
@@ -280,6 +277,9 @@ def join_hits(now: tuple[list, list, int], before: tuple[list, list]) -> tuple[l
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns."""
-    judged = decontaminate(docs, items, **options)
-    return judged.where(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are not contaminated, with their own columns and values, whatever
+    they are called. Null and empty texts stay; without items all rows stay."""
+    renamed, called = set_aside(docs, list(NAMES))
+    options["text_col"] = called[options.get("text_col", "text")]
+    judged = decontaminate(renamed, items, **options)
+    return put_back(judged.where(~F.col("contaminated")), called)

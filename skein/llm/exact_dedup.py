@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import ascii_lower
+from skein.llm.common import ascii_lower, fresh_name
 from skein.session import cut_lineage
 
 MIN_CHUNK, MAX_CHUNK = 512, 4096
+#: Clashing hashes that a plan lists; more of them are joined.
+MOST_CLASHES = 1000
 
 
 def chunk_pattern(min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> str:
@@ -41,8 +43,10 @@ def exact_dedup(
     whose ids are all null has a null keep_id and all its rows stay. Other columns are ignored.
 
     ``chunk_hash`` may be any hash of a column; weak ones only cost time. Clashes of a 64-bit hash
-    are expected about n*n/2**65 times for n chunks: 70 among the chunks of 100 TB, so the list
-    that the driver gets is short. Runs one job when called and writes the recipes (not the texts)
+    are expected about n*n/2**65 times for n chunks: 70 among the chunks of 100 TB. Up to
+    MOST_CLASHES of them are put into the plan; where a weak hash has more, a join tells the texts
+    that hold a clashing chunk, and such a text's chunks are all identified by themselves. Equal
+    texts get equal recipes either way. Runs one job when called and writes the recipes (not the texts)
     to the checkpoint folder.
     """
     pattern = F.lit(chunk_pattern(min_chunk, max_chunk))
@@ -56,18 +60,25 @@ def exact_dedup(
         .select(chunk_hash("chunk").alias("h"), "chunk")
         .distinct()
     )
-    clashing = [
-        row.h for row in dictionary.groupBy("h").count().where("count > 1").select("h").collect()
-    ]
+    clashing = dictionary.groupBy("h").count().where("count > 1").select("h")
+    few = [row.h for row in clashing.limit(MOST_CLASHES + 1).collect()]
+    if len(few) > MOST_CLASHES:  # a weak hash: which rows hold a clashing chunk is told by a join
+        clashing = cut_lineage(clashing)
+        held = texts.select(
+            F.xxhash64("_t").alias("k"), F.explode(F.array_distinct(F.transform(pieces, chunk_hash))).alias("h")
+        )
+        held = held.join(clashing, "h", "left_semi").select("k").distinct()
+        texts = texts.withColumn("k", F.xxhash64("_t")).join(held.withColumn("clash", F.lit(True)), "k", "left")
+        clash = F.coalesce("clash", F.lit(False))
+    else:
+        clash = None
 
     def identifier(chunk: Column) -> Column:
         h = chunk_hash(chunk)
-        if not clashing:
+        if not few:
             return h
-        own_text = F.concat(F.lit("text:"), chunk)
-        return F.when(h.isin(clashing), own_text).otherwise(
-            F.concat(F.lit("hash:"), h.cast("string"))
-        )
+        own_text, by_hash = F.concat(F.lit("text:"), chunk), F.concat(F.lit("hash:"), h.cast("string"))
+        return F.when(h.isin(few) if clash is None else clash, own_text).otherwise(by_hash)
 
     recipes = cut_lineage(
         texts.select(
@@ -92,17 +103,18 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; a repeated row stays once."""
-    text_hash = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    keep, sha, rows, own_sha = (fresh_name(docs, x) for x in ("_keep", "_sha", "_rows", "_text_sha"))
+    text_hash = F.sha2(ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)
     kept = (
         exact_dedup(docs, id_col, text_col)
         .where("kept")
-        .groupBy(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
+        .groupBy(F.col(f"`{id_col}`").alias(keep), F.col("text_sha256").alias(sha))
+        .agg(F.count(F.lit(1)).alias(rows))
     )
-    own = docs.withColumn("_text_sha", text_hash)
-    same = own[id_col].eqNullSafe(kept["_keep"]) & (own["_text_sha"] == kept["_sha"])
+    own = docs.withColumn(own_sha, text_hash)
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col(keep)) & (F.col(own_sha) == F.col(sha))
     found = own.join(kept, same)
     # Only rows that repeat are dealt once more; all others have moved once.
-    once = found.where("_rows = 1")
-    repeated = found.where("_rows > 1").dropDuplicates([id_col, "_text_sha"])
+    once = found.where(F.col(rows) == 1)
+    repeated = found.where(F.col(rows) > 1).dropDuplicates([id_col, own_sha])
     return once.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
-from dataclasses import dataclass
+from collections import Counter, defaultdict
+from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
@@ -22,12 +22,12 @@ ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 PUNCTUATION = re.compile(r"[.,;:!?。，！？…]")
 
 # fixed values: element classes of HTML
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object"}
-RAW |= {"canvas", "title", "select"}
+RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "canvas", "title", "select"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i"}
 INLINE |= {"ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong"}
 INLINE |= {"sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
+INLINE |= {"math", "mi", "mo", "mn", "ms", "mtext", "mrow", "msup", "msub", "msubsup", "mfrac", "msqrt", "mroot"}
 BOILERPLATE = {"nav", "aside", "footer", "button", "dialog", "menu", "head"}
 FORMS = {"form", "fieldset"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -39,64 +39,102 @@ SELF_CLOSING |= {b: {"p"} for b in ("div", "ul", "ol", "table", "section", "arti
 SELF_CLOSING |= {b: {"p"} for b in ("pre", "footer", "header", "nav", "aside", "form", "main", "hr")}
 SCOPES = {"ul", "ol", "table", "div", "section", "article", "main", "body", "aside", "blockquote"}
 
-# fixed values: words of class, id and role that name furniture of a page
-FURNITURE = set(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner promo promotion "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter "
-    "subscribe subscription signup login sidebar side widget widgets menu menus nav navbar navigation "
+# fixed values: words of class, id and role that name what is no article text
+NAMED = set(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner cookie cookies consent "
+    "gdpr notice notices notification alert popup modal overlay sidebar menu menus nav navbar navigation "
     "breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus respond replies "
-    "share sharing social related recommended recommendations pagination pager skip copyright legal "
-    "complementary contentinfo search form dialog toolbar".split()
+    "complementary contentinfo search form dialog toolbar newsletter subscribe subscription signup login".split()
+)
+#: Words that article text may have too: inside an article the path's score decides.
+HINTS = set(
+    "promo promotion side widget widgets share sharing social related recommended recommendations "
+    "pagination pager skip copyright legal".split()
 )
 PAGE_HEADER = {"header", "masthead", "banner"}
+NONE, HINT, NAME, SURE = range(4)
 
 
-@dataclass
-class Node:
-    """A run of text: its path of (tag, element number), the block it belongs to."""
-
-    path: tuple[tuple[str, int], ...]
-    block: int
-    text: str
-    linked: bool
-
-
-def furniture(tag: str, attributes: str, in_article: bool) -> str:
-    """Whether an element holds parts of a page other than its text: "sure" by its tag or because
-    it is hidden, "named" by a name or as a form, which may be a wrapper of the text, or ""."""
+def furniture(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element holds parts of a page other than its text: SURE by its tag or because it
+    is hidden, NAME by a name or as a form, which may be a wrapper of the text, HINT, or NONE."""
     if tag in BOILERPLATE or (tag == "header" and not in_article):
-        return "sure"
-    found = "named" if tag in FORMS else ""
+        return SURE
+    found = NAME if tag in FORMS else NONE
     if tag in ("html", "body", "article", "main") or not attributes.strip(" />"):
         return found
     for name, a, b, c, hidden in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if hidden or (name == "aria-hidden" and value == "true"):
-            return "sure"
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return "sure"
+            return SURE
         if name in ("class", "id", "role"):
             words = set(re.split(r"[^a-z0-9]+", value))
-            if words & FURNITURE or (not in_article and words & PAGE_HEADER):
-                found = "named"
+            if words & NAMED or (not in_article and words & PAGE_HEADER):
+                found = NAME
+            elif words & HINTS:
+                found = max(found, HINT)
     return found
 
 
-def text_nodes(html: str) -> list[Node]:
-    """Text outside raw elements and furniture, in page order. An element that is furniture by
-    name is kept if it has an article or main, or more than half of the page's unlinked text; of
-    a page with a main or just one article, only inside that."""
-    nodes: list[Node] = []
-    named: dict[int, bool] = {}  # number, whether in an article or main
-    wrappers: set[int] = set()
-    stack: list[tuple[str, int, bool]] = []  # tag, number, sure furniture
-    at = block = count = 0
+@dataclass
+class Page:
+    """Elements by number in page order (0 is the page itself), each with its parent, and runs of
+    text (element, block, text, linked). Memory is linear in the page, however deep it nests."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    kind: list[int] = field(default_factory=lambda: [NONE])
+    inner: list[bool] = field(default_factory=lambda: [False])  # inside an article or main
+    #: the outermost article or main around an element, itself included, or -1
+    region: list[int] = field(default_factory=lambda: [-1])
+    #: the innermost element around it that is not inline, itself included
+    outer: list[int] = field(default_factory=lambda: [0])
+    runs: list[tuple[int, int, str, bool]] = field(default_factory=list)
+
+    def add(self, parent: int, tag: str, kind: int, inner: bool) -> int:
+        number = len(self.parent)
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kind.append(kind)
+        self.inner.append(inner)
+        around = self.region[parent]
+        self.region.append(around if around >= 0 else number if tag in ("article", "main") else -1)
+        self.outer.append(self.outer[parent] if tag in INLINE else number)
+        return number
+
+    def sums(self, own: dict[int, float]) -> list[float]:
+        """What each element holds in all, of what hangs at it and those in it."""
+        total = [own.get(e, 0.0) for e in range(len(self.parent))]
+        for e in range(len(total) - 1, 0, -1):
+            total[self.parent[e]] += total[e]
+        return total
+
+    def inherited(self, marked: list[bool]) -> list[bool]:
+        """Which elements are marked or lie in one that is."""
+        out = list(marked)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
+
+
+def read_page(html: str) -> Page:
+    """Elements and text outside raw elements and sure furniture, in page order."""
+    page = Page()
+    stack: list[tuple[int, bool]] = [(0, False)]  # element, in sure furniture
+    opened: Counter = Counter()
+    at = block = 0
     length = len(html)
 
+    def close(k: int) -> None:
+        for e, _ in stack[k:]:
+            opened[page.tag[e]] -= 1
+        del stack[k:]
+
     def say(text: str) -> None:
-        if text and not (stack and stack[-1][2]):
-            linked = any(s[0] == "a" for s in stack)
-            nodes.append(Node(tuple((s[0], s[1]) for s in stack), block, unescape(text), linked))
+        if text and not stack[-1][1]:
+            page.runs.append((stack[-1][0], block, unescape(text), opened["a"] > 0))
 
     while at < length:
         found = TOKEN.search(html, at)
@@ -111,10 +149,8 @@ def text_nodes(html: str) -> list[Node]:
         if tag not in INLINE:
             block += 1
         if found[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if page.tag[stack[k][0]] == tag))
             continue
         if tag in RAW:
             if not found[3].endswith("/>"):
@@ -123,101 +159,144 @@ def text_nodes(html: str) -> list[Node]:
             continue
         if tag in VOID:
             continue
-        if tag in SELF_CLOSING:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in SELF_CLOSING[tag]:
-                    del stack[k:]
+        if tag in SELF_CLOSING and any(opened[t] > 0 for t in SELF_CLOSING[tag]):
+            for k in range(len(stack) - 1, 0, -1):
+                open_tag = page.tag[stack[k][0]]
+                if open_tag in SELF_CLOSING[tag]:
+                    close(k)
                     break
-                if stack[k][0] in SCOPES:
+                if open_tag in SCOPES:
                     break
-        count += 1
-        inside = bool(stack) and stack[-1][2]
-        in_article = any(s[0] in ("article", "main") for s in stack)
+        in_article = opened["article"] > 0 or opened["main"] > 0
         kind = furniture(tag, found[3], in_article)
-        stack.append((tag, count, inside or kind == "sure"))
-        if kind == "named":
-            named[count] = in_article
-        if tag in ("article", "main") and not inside:
-            wrappers.update(s[1] for s in stack)
-    if not named:
-        return nodes
-    unlinked: dict[int, int] = defaultdict(int)
-    marked: set[tuple[str, int]] = set()
-    for node in nodes:
-        size = len(node.text.strip())
-        if size and not node.linked:
-            marked.update([s for s in node.path if s[0] in ("article", "main")][:1])
-            for number in {0, *(s[1] for s in node.path if s[1] in named)}:
-                unlinked[number] += size
-    told = len(marked) == 1 or any(s[0] == "main" for s in marked)
-    dropped = {
-        n for n, inner in named.items()
-        if n not in wrappers and (2 * unlinked[n] <= unlinked[0] or (told and not inner))
-    }
-    return [n for n in nodes if not any(s[1] in dropped for s in n.path)]
+        sure = stack[-1][1] or kind == SURE
+        opened[tag] += 1
+        stack.append((page.add(stack[-1][0], tag, SURE if sure else kind, in_article), sure))
+    return page
+
+
+@dataclass
+class Block:
+    """Text between two block tags: the element it hangs at, whether it is mostly links."""
+
+    element: int
+    text: str
+    linked: bool
+
+
+def blocks_of(page: Page) -> list[Block]:
+    grouped: dict[int, list[tuple[int, int, str, bool]]] = defaultdict(list)
+    for run in page.runs:
+        grouped[run[1]].append(run)
+    out = []
+    for runs in grouped.values():
+        text = " ".join("".join(r[2] for r in runs).split())
+        if text:
+            linked = sum(len(r[2].strip()) for r in runs if r[3])
+            out.append(Block(page.outer[runs[0][0]], text, linked > 0.5 * len(text)))
+    return out
+
+
+def path_scores(page: Page, blocks: list[Block]) -> list[float]:
+    """Of each block its tag path's score.
+
+    A tag path is the tags from the root to a block, with a mark where an element is named like
+    furniture. Of each path the mean text length and the mean punctuation of its blocks are taken
+    (links count for nothing), smoothed over neighbouring blocks in page order and fused.
+    """
+    names: dict[tuple[int, str, int], int] = {}
+    path = [0] * len(page.parent)
+    for e in range(1, len(path)):
+        above = path[page.parent[e]]
+        path[e] = above if page.tag[e] in INLINE else names.setdefault((above, page.tag[e], page.kind[e]), len(names) + 1)
+    count: Counter = Counter()
+    length: Counter = Counter()
+    marks: Counter = Counter()
+    for b in blocks:
+        k = path[b.element]
+        count[k] += 1
+        if not b.linked:
+            length[k] += len(b.text)
+            marks[k] += len(PUNCTUATION.findall(b.text))
+    ratios = [(length[k] / count[k], marks[k] / count[k]) for k in (path[b.element] for b in blocks)]
+    fused = []
+    for i, own in enumerate(ratios):
+        near = ratios[max(0, i - 1) : i + 2]
+        smooth = [sum(r[j] for r in near) / len(near) for j in (0, 1)]
+        fused.append((smooth[0] * own[0]) ** 0.5 * (1 + (smooth[1] * own[1]) ** 0.5))
+    total: Counter = Counter()
+    for b, f in zip(blocks, fused, strict=True):
+        total[path[b.element]] += f
+    return [total[path[b.element]] / count[path[b.element]] for b in blocks]
 
 
 def main_text(html: str | None) -> str:
     """The content blocks of a page, each with single spaces, joined by a space.
 
-    A tag path is the tags from the root to a block. Of each path the mean text length and the
-    mean punctuation of its blocks are taken, smoothed over neighbouring blocks in page order,
-    and fused to a score; blocks whose score reaches the page's weighted threshold are content.
-    The outermost article or main that holds nearly all of it, else the innermost element that
-    holds all of it and the top headings, is the article: its headings and its other unlinked
-    blocks belong to it, whatever their length.
+    Paths whose score (see ``path_scores``) reaches a tenth of the page's mean, weighted by text,
+    are content. They select the nodes: every outermost article or main most of whose text is on
+    content paths; on a page whose content lies elsewhere, the innermost element that holds all
+    content paths and the top headings. A selected node gives all its text, short or linked, but
+    for elements in it that are named as parts other than text and are no wrapper of most of the
+    page's text; where a name only hints, that element's own paths decide. Outside an article,
+    lists of links go.
     """
-    grouped: dict[int, list[Node]] = defaultdict(list)
-    for node in text_nodes(html or ""):
-        grouped[node.block].append(node)
-    blocks = []
-    for nodes in grouped.values():
-        text = " ".join("".join(n.text for n in nodes).split())
-        if text:
-            linked = sum(len(n.text.strip()) for n in nodes if n.linked)
-            path = min((n.path for n in nodes), key=len)
-            outer = tuple(s for s in path if s[0] not in INLINE)
-            blocks.append((outer, text, linked > 0.5 * len(text)))
+    page = read_page(html or "")
+    blocks = blocks_of(page)
     if not blocks:
         return ""
-    totals: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
-    kinds = [tuple(tag for tag, _ in path) for path, _, _ in blocks]
-    for kind, (_, text, _) in zip(kinds, blocks, strict=True):
-        total = totals[kind]
-        total[0] += 1
-        total[1] += len(text)
-        total[2] += len(PUNCTUATION.findall(text))
-    ratios = [(totals[k][1] / totals[k][0], totals[k][2] / totals[k][0]) for k in kinds]
-    fused = []
-    for i in range(len(ratios)):
-        near = ratios[max(0, i - 1) : i + 2]
-        length, marks = (sum(r[j] for r in near) / len(near) for j in (0, 1))
-        fused.append((length * ratios[i][0]) ** 0.5 * (1 + (marks * ratios[i][1]) ** 0.5))
-    weight = sum(len(b[1]) for b in blocks)
-    threshold = 0.1 * sum(f * len(b[1]) for f, b in zip(fused, blocks, strict=True)) / weight
-    content = [f >= threshold and not b[2] for f, b in zip(fused, blocks, strict=True)]
+    plain: dict[int, float] = defaultdict(float)
+    for b in blocks:
+        plain[b.element] += 0 if b.linked else len(b.text)
+    unlinked = page.sums(plain)
+    # named elements that hold an article, or most of the page's text, are wrappers
+    holds = page.sums({e: 1.0 for e, t in enumerate(page.tag) if t in ("article", "main") and page.kind[e] != SURE})
+    texts = {page.region[b.element] for b in blocks if not b.linked and page.region[b.element] >= 0}
+    told = len(texts) == 1 or any(page.tag[e] == "main" for e in texts)
+
+    def wrapper(e: int) -> bool:
+        return holds[e] > 0 or (2 * unlinked[e] > unlinked[0] and (page.inner[e] or not told))
+
+    elements = range(len(page.parent))
+    named = [page.kind[e] == NAME or (page.kind[e] == HINT and not page.inner[e]) for e in elements]
+    dropped = page.inherited([named[e] and not wrapper(e) for e in elements])
+    blocks = [b for b in blocks if not dropped[b.element]]
+    scores = path_scores(page, blocks)
+    weight = sum(len(b.text) for b in blocks)
+    if not weight:
+        return ""
+    threshold = 0.1 * sum(f * len(b.text) for f, b in zip(scores, blocks, strict=True)) / weight
+    content = [f >= threshold and f > 0 and not b.linked for f, b in zip(scores, blocks, strict=True)]
     if not any(content):
-        content = [not b[2] for b in blocks]
-    mass: dict[tuple[str, int], float] = defaultdict(float)
-    whole = 0
-    shared: list[tuple[str, int]] | None = None
-    for chosen, (path, text, linked) in zip(content, blocks, strict=True):
-        if chosen:
-            whole += len(text)
-            for step in path:
-                mass[step] += len(text)
-        if chosen or (not linked and path and path[-1][0] == "h1"):
-            shared = [s for s in (path if shared is None else shared) if s in path]
-    marked = [s for s, m in mass.items() if s[0] in ("article", "main") and m >= 0.9 * whole]
-    if marked:
-        article = min(marked, key=lambda step: step[1])
-    else:
-        article = next((s for s in reversed(shared or []) if s[0] not in {"p", "li", *HEADINGS}), None)
+        content = [not b.linked for b in blocks]
+    plain, good, linked, chosen = (defaultdict(float) for _ in range(4))
+    for b, c in zip(blocks, content, strict=True):
+        (linked if b.linked else plain)[b.element] += len(b.text)
+        if c:
+            good[b.element] += len(b.text)
+        if c or (not b.linked and page.tag[b.element] == "h1"):
+            chosen[b.element] += 1
+    plain, good, linked, chosen = (page.sums(x) for x in (plain, good, linked, chosen))
+    regions = {page.region[b.element] for b in blocks} - {-1}
+    regions = {e for e in regions if good[e] and 2 * good[e] >= plain[e]}
+    if 2 * sum(good[e] for e in regions) < good[0] or not regions:
+        regions = set()
+    whole = max((e for e in elements if chosen[e] == chosen[0]), default=0)
+    while page.tag[whole] in {"p", "li", *HEADINGS} or page.outer[whole] != whole:
+        whole = page.parent[whole]
+    # an element whose name only hints goes if its paths are not content
+    hinted = page.inherited([page.kind[e] == HINT and not wrapper(e) and 2 * good[e] < plain[e] + linked[e] for e in elements])
+    inside = page.inherited([e == whole for e in elements])
     out = []
-    for path, text, linked in blocks:
-        heading = bool(path) and path[-1][0] in HEADINGS
-        if (article is None or article in path) and (heading or not linked):
-            out.append(text)
+    for b in blocks:
+        e = b.element
+        if hinted[e] or not (page.region[e] in regions if regions else inside[e]):
+            continue
+        above = page.parent[e] if e else 0
+        heading = page.tag[e] in HEADINGS
+        if b.linked and not regions and not heading and linked[above] > plain[above]:
+            continue
+        out.append(b.text)
     return " ".join(out)
 
 

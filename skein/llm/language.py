@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import fresh_name
+from skein.llm.common import fresh_name, put_back, set_aside
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
 #: Labelled documents of one language that the model learns from, in expectation.
@@ -20,6 +20,8 @@ MAX_LANGUAGES = 256
 UNKNOWN = "und"
 
 
+#: Weights that scoring gathers at once.
+CELLS = 1 << 22
 #: Characters of one slice of a text; slices overlap, so that no n-gram is lost between them.
 SLICE = 1 << 20
 
@@ -64,19 +66,41 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, its posterior) of each text; (und, 0) of texts without a letter.
 
-        Whole texts are scored: a text is a sparse row of n-gram counts, whose product with the
-        weights is the sum of the rows that its n-grams gather.
+        Whole texts are scored, as a sparse batch: a text is a sparse row of n-gram counts, whose
+        product with the weights is the sum of the rows that its n-grams gather. Stretches of
+        n-grams of several texts are gathered together, at most CELLS cells of weights at once.
         """
         out = [(UNKNOWN, 0.0)] * len(texts)
-        if not self.languages:
-            return out
-        for i, text in enumerate(texts):
-            if has_letter(text):
-                scores = self.priors.copy()
-                for buckets in grams(text):
-                    scores += self.weights[buckets].sum(axis=0, dtype=np.float64)
-                best = int(scores.argmax())
-                out[i] = (self.languages[best], float(1 / np.exp(scores - scores[best]).sum()))
+        known = [i for i, text in enumerate(texts) if has_letter(text)] if self.languages else []
+        scores = np.tile(self.priors, (len(texts), 1))
+        waiting: list[np.ndarray] = []
+        owners: list[int] = []
+        room = most = max(1, CELLS // max(1, len(self.languages)))
+
+        def gather() -> None:
+            starts = np.cumsum([0, *map(len, waiting[:-1])])
+            rows = self.weights[np.concatenate(waiting)]
+            np.add.at(scores, owners, np.add.reduceat(rows, starts, axis=0, dtype=np.float64))
+            waiting.clear()
+            owners.clear()
+
+        for i in known:
+            for buckets in grams(texts[i]):
+                at = 0
+                while at < len(buckets):
+                    part = buckets[at : at + room]
+                    waiting.append(part)
+                    owners.append(i)
+                    at += len(part)
+                    room -= len(part)
+                    if not room:
+                        gather()
+                        room = most
+        if waiting:
+            gather()
+        for i in known:
+            best = int(scores[i].argmax())
+            out[i] = (self.languages[best], float(1 / np.exp(scores[i] - scores[i][best]).sum()))
         return out
 
 
@@ -172,8 +196,15 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def keep_known_language(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows whose language is known with a posterior of at least ``min_score``."""
+    """The rows whose language is known with a posterior of at least ``min_score``, with their own
+    columns and values, whatever they are called.
+
+    Null texts and texts without a letter have no known language and go. Where no training row
+    has a language there is no model to reject by: every row stays. Repeated rows are judged each.
+    """
     model = fit_language_model(training_rows(docs), key=F.col("doc_id"))
-    judged = identify_language(docs.select("*"), model)
-    kept = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    if not model.languages:
+        return docs
+    renamed, called = set_aside(docs, ["lang_pred", "score"])
+    judged = identify_language(renamed, model)
+    return put_back(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), called)

@@ -5,22 +5,27 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import fresh_name
 from skein.operators.components import connected_components
 from skein.session import cut_lineage
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that the driver gets to choose vantage points from, whatever the table's size.
 TREE_SAMPLE = 8192
-#: Trees are planted for shards of about SHARD_GOAL fingerprints, and no deeper than MAX_DEPTH.
-SHARD_GOAL, MAX_DEPTH = 512, 12
-#: Fingerprints of one shard that are compared in one task; larger shards are dealt again.
+#: Trees are planted for shards with about SHARD_GOAL fingerprints at home, MAX_DEPTH deep at most.
+SHARD_GOAL, MAX_DEPTH = 512, 14
+#: Blocks of bits, each with a tree: of two fingerprints within RADIUS one block differs in one bit
+#: at most, the radius of each tree's search.
+BLOCKS = 3
+#: Fingerprints at home in one shard that are compared in one task; a larger home is dealt to tiles.
 SHARD = 8192
+#: Least share of the sample that a node's bound is taken from; nodes with less take all of it.
+LEAST = 32
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -46,18 +51,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row; null texts have no words."""
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"))
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """(id, those in ``keep``, fp) of every row; null texts have no words."""
+    names = [id_col, *(keep or [])]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").alias("_text"))
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.int64())], [id_col, "fp"]
-            )
+            found = [fingerprint(t) for t in batch.column(len(names)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*names, "fp"])
 
-    return rows.mapInArrow(run, rows.select(id_col).schema.add("fp", "long"))
+    return rows.mapInArrow(run, rows.drop("_text").schema.add("fp", "long"))
 
 
 @dataclass
@@ -75,28 +81,39 @@ class Tree:
 
     @classmethod
     def fit(cls, sample: np.ndarray, mask: int, depth: int, radius: int) -> Tree:
-        """Vantage points from a bounded sample; each bound is the median of the node's share."""
+        """Vantage points from a bounded sample; each bound is the median of the node's share, or
+        of the whole sample where the share is too small to tell."""
         m, nodes = np.uint64(mask), (1 << depth) - 1
         points, bounds = np.zeros(nodes, np.uint64), np.zeros(nodes, np.int64)
         shares = {0: sample}
         for node in range(nodes):
             share = shares.pop(node, sample[:0])
-            pool = share if len(share) else sample
+            pool = share if len(share) >= LEAST else sample
             # of a few candidates, the point whose distances spread most splits best
             if len(pool):
-                candidates = pool[np.linspace(0, len(pool) - 1, min(8, len(pool))).astype(int)]
+                at = np.linspace(0, len(pool) - 1, min(8, len(pool))).astype(int)
+                candidates = pool[(at + node) % len(pool)]
                 far = np.bitwise_count((candidates[:, None] ^ pool[None, :512]) & m)
                 points[node] = candidates[int(far.std(axis=1).argmax())]
-            away = np.bitwise_count((share ^ points[node]) & m).astype(np.int64)
-            bounds[node] = int(np.median(away)) if len(away) else 0
-            if len(away) and away.max() > away.min() and bounds[node] == away.max():
-                bounds[node] -= 1
-            shares[2 * node + 1] = share[away <= bounds[node]]
-            shares[2 * node + 2] = share[away > bounds[node]]
+                away = np.bitwise_count((pool ^ points[node]) & m).astype(np.int64)
+                bounds[node] = int(np.median(away))
+                if away.max() > away.min() and bounds[node] == away.max():
+                    bounds[node] -= 1
+            if len(share) >= LEAST:
+                shares[2 * node + 1] = share[away <= bounds[node]]
+                shares[2 * node + 2] = share[away > bounds[node]]
         return cls(m, points, bounds, radius)
 
+    def home(self, fps: np.ndarray) -> np.ndarray:
+        """The leaf of each fingerprint."""
+        nodes = np.zeros(len(fps), np.int64)
+        while len(nodes) and nodes[0] < len(self.points):
+            away = np.bitwise_count((fps ^ self.points[nodes]) & self.mask).astype(np.int64)
+            nodes = 2 * nodes + 1 + (away > self.bounds[nodes])
+        return nodes - len(self.points)
+
     def visit(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, leaf) of every leaf that may hold a fingerprint within the radius of the row's.
+        """(row, leaf) of every leaf that may be home to a fingerprint within the radius of the row's.
 
         By the triangle inequality a branch is pruned when the row's distance to the vantage
         point is over ``radius`` beyond the bound; a row near the bound goes down both branches.
@@ -126,114 +143,96 @@ def plant(sample: np.ndarray, mask: int, blocks: int, radius: int, depth: int) -
     return [Tree.fit(sample, m, depth, radius // blocks) for m in block_masks(mask, blocks)]
 
 
-def shard_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within a shard: at most one pair per fingerprint.
+def shard_links(home: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the fingerprints at ``home`` in a shard and all that came to it, ``fps``: a
+    spanning forest, at most one pair per fingerprint.
 
     The shard is ordered by the distance to a vantage point of its own. By the triangle bound
     partners of a row lie where that distance differs by at most ``radius``: one stretch of the
     order, compared exactly, block by block.
     """
-    fps = np.unique(fps)
-    if len(fps) < 2:
+    fps, home = np.unique(fps), np.unique(home)
+    if len(fps) < 2 or not len(home):
         return fps[:0], fps[:0]
-    away = np.bitwise_count(fps ^ fps[len(fps) // 2]).astype(np.int64)
+    point = home[len(home) // 2]
+    away = np.bitwise_count(fps ^ point).astype(np.int64)
     order = np.argsort(away, kind="stable")
     fps, away = fps[order], away[order]
-    upto = np.searchsorted(away, away + radius, side="right")
+    own = np.flatnonzero(np.isin(fps, home))
     label = np.arange(len(fps))
     a, b, step = [], [], max(1, (1 << 22) // len(fps))
-    for at in range(0, len(fps) - 1, step):
-        last = min(at + step, len(fps))
-        close = np.bitwise_count(fps[at:last, None] ^ fps[None, at : upto[last - 1]]) <= radius
-        for row in np.flatnonzero(close.sum(axis=1) > 1):
-            partners = at + np.flatnonzero(close[row])
-            i = at + int(row)
-            for other in np.unique(label[partners]):
-                if other != label[i]:
-                    j = int(partners[label[partners] == other][0])
-                    a.append(i)
-                    b.append(j)
-                    label[label == other] = label[i]
+    for start in range(0, len(own), step):
+        rows = own[start : start + step]
+        low = int(np.searchsorted(away, away[rows[0]] - radius))
+        high = int(np.searchsorted(away, away[rows[-1]] + radius, side="right"))
+        close = np.bitwise_count(fps[rows, None] ^ fps[None, low:high]) <= radius
+        for k in np.flatnonzero(close.sum(axis=1) > 1):
+            i, partners = int(rows[k]), low + np.flatnonzero(close[k])
+            others, first = np.unique(label[partners], return_index=True)
+            new = others != label[i]
+            if new.any():
+                a += [i] * int(new.sum())
+                b += partners[first[new]].tolist()
+                label[np.isin(label, others[new])] = label[i]
     return fps[a], fps[b]
 
 
 def links(
-    fps: DataFrame, radius: int = RADIUS, blocks: int = RADIUS + 1, shard: int = SHARD
+    fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD
 ) -> DataFrame:
     """Pairs (a, b) of distinct ``fp`` within ``radius`` bits; every linked pair is connected by them.
 
     A forest of vantage-point trees, one for each of ``blocks`` blocks of bits, deals the
-    fingerprints to shards by Hamming distance; rows near a boundary also go to the shards beyond
-    it. With more blocks the search radius within a tree shrinks (at radius + 1 blocks to zero,
-    where no shard boundary is crossed and a fingerprint goes to ``blocks`` shards in all); with
-    one block this is a single tree over all bits. Shards of more than ``shard`` rows are dealt
-    anew by trees over their other bits, and what is still larger in tiles, compared pair by pair.
-    Trees are as deep as the number of fingerprints asks for, MAX_DEPTH at most.
+    fingerprints to shards by Hamming distance. A fingerprint is at home in one shard of a tree and
+    visits those beyond a boundary within the tree's search radius (``radius`` // ``blocks``): the
+    triangle bound prunes all others. In a shard those at home meet all that came. With one block
+    this is a single tree over all bits; at radius + 1 blocks the search radius is zero. A home of
+    more than ``shard`` fingerprints is dealt to tiles, each of which all that came visit. Trees
+    are as deep as the number of fingerprints asks for, MAX_DEPTH at most, so the broadcast is at
+    most ``blocks`` * 2**MAX_DEPTH * 16 bytes.
     """
     sample = np.array(
         [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).collect()], np.int64
     ).view(np.uint64)
     depth = min(MAX_DEPTH, max(0, fps.count() // SHARD_GOAL).bit_length())
-    context, full = fps.sparkSession.sparkContext, (1 << 64) - 1
-    outer = context.broadcast(plant(sample, full, blocks, radius, depth))
+    forest = fps.sparkSession.sparkContext.broadcast(plant(sample, (1 << 64) - 1, blocks, radius, depth))
+
+    def settle(batches):
+        for batch in batches:
+            values = batch.column(0).to_numpy().view(np.uint64)
+            leaves = [(k << 40) + tree.home(values) for k, tree in enumerate(forest.value)]
+            yield pa.RecordBatch.from_pydict({"shard": np.concatenate(leaves)})
 
     def deal(batches):
         for batch in batches:
             values = batch.column(0).to_numpy().view(np.uint64)
-            for k, tree in enumerate(outer.value):
+            for k, tree in enumerate(forest.value):
                 rows, leaf = tree.visit(values)
-                yield shard_batch(values[rows], (k << 40) + leaf)
-
-    def compare(frame):
-        a, b = shard_links(frame["fp"].to_numpy().view(np.uint64), radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
-
-    dealt = cut_lineage(fps.select("fp").mapInArrow(deal, "fp long, shard long"))
-    # at most as many as the trees have leaves, which is bounded by MAX_DEPTH
+                own = tree.home(values)[rows] == leaf
+                columns = {"fp": values[rows].view(np.int64), "shard": (k << 40) + leaf, "home": own}
+                yield pa.RecordBatch.from_pydict(columns)
+
+    def compare(group: pa.Table) -> pa.Table:
+        values = group["fp"].to_numpy().view(np.uint64)
+        a, b = shard_links(values[group["home"].to_numpy()], values, radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+
+    rows = fps.select("fp")
+    dealt = rows.mapInArrow(deal, "fp long, shard long, home boolean")
+    # at most as many as the trees have leaves
     large = cut_lineage(
-        dealt.groupBy("shard").count().where(F.col("count") > shard).select("shard")
+        rows.mapInArrow(settle, "shard long")
+        .groupBy("shard")
+        .agg(F.ceil(F.count(F.lit(1)) / shard).alias("tiles"))
+        .where("tiles > 1")
     )
     if not large.isEmpty():
-        inner = context.broadcast(
-            [plant(sample, full & ~m, blocks, radius, depth) for m in block_masks(full, blocks)]
-        )
-
-        def deal_again(batches):
-            for batch in batches:
-                values = batch.column(0).to_numpy().view(np.uint64)
-                keys = batch.column(1).to_numpy()
-                for k, group in enumerate(inner.value):
-                    own = np.flatnonzero(keys >> 40 == k)
-                    for i, tree in enumerate(group):
-                        rows, leaf = tree.visit(values[own])
-                        made = shard_batch(values[own][rows], keys[own][rows])
-                        yield made.append_column("part", pa.array(leaf * blocks + i, pa.int64()))
-
-        few = dealt.join(F.broadcast(large), "shard", "left_anti").select("fp", "shard")
-        many = dealt.join(F.broadcast(large), "shard", "left_semi").select("fp", "shard")
-        again = cut_lineage(
-            many.mapInArrow(deal_again, "fp long, shard long, part long").select(
-                "fp", F.xxhash64("shard", "part").alias("shard")
-            )
-        )
-        tiles = again.groupBy("shard").agg(F.ceil(F.count("fp") / shard).alias("k"))
-        own = F.pmod(F.xxhash64("fp"), F.col("k"))
-        tiled = again.join(tiles, "shard").select(
-            "fp", "shard", own.alias("t"), F.explode(F.sequence(F.lit(1), "k")).alias("u")
-        )
-        dealt = few.union(
-            tiled.select(
-                "fp",
-                F.xxhash64(
-                    "shard", F.least("t", F.col("u") - 1), F.greatest("t", F.col("u") - 1)
-                ).alias("shard"),
-            )
-        )
-    return dealt.groupBy("shard").applyInPandas(compare, "a long, b long").distinct()
-
-
-def shard_batch(values: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"fp": values.view(np.int64), "shard": keys.astype(np.int64)})
+        tile = F.pmod(F.xxhash64("fp"), F.col("tiles")) + 1
+        tiled = dealt.join(F.broadcast(large), "shard", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+        dealt = tiled.select(
+            "fp", "shard", "home", tile.alias("own"), F.explode(F.sequence(F.lit(1), "tiles")).alias("tile")
+        ).select("fp", F.xxhash64("shard", "tile").alias("shard"), (F.col("home") & (F.col("own") == F.col("tile"))).alias("home"))
+    return dealt.groupBy("shard").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
@@ -241,10 +240,12 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     radius: int = RADIUS,
-    blocks: int = RADIUS + 1,
+    blocks: int = BLOCKS,
     shard: int = SHARD,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
+    """id, the columns in ``keep``, fingerprint (16 hex digits) and component_id of every row of
+    ``docs``. None of ``keep`` may be called like another column of the result.
 
     Fingerprints that differ in at most ``radius`` bits link; component_id is the least id that is
     reachable. Null, empty and blank texts have the fingerprint zero and link like any other.
@@ -252,7 +253,9 @@ def near_duplicates(
     Only distinct fingerprints are searched, so large groups of copies cost one. Other columns are
     ignored. Runs jobs when called.
     """
-    marked = cut_lineage(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "_id"))
+    kept = keep or []
+    marked = fingerprints(docs, id_col, text_col, kept)
+    marked = cut_lineage(marked.select(F.col(f"`{id_col}`").alias("_id"), *[F.col(f"`{c}`") for c in kept], "fp"))
     distinct = cut_lineage(marked.groupBy("fp").agg(F.min("_id").alias("least")))
     groups = connected_components(links(distinct, radius, blocks, shard), "a", "b")
     linked = distinct.join(groups.withColumnRenamed("node", "fp"), "fp")
@@ -265,6 +268,7 @@ def near_duplicates(
     again = F.xxhash64("fp").alias("again")
     return marked.select("*", again).join(final.select("*", again), ["fp", "again"]).select(
         F.col("_id").alias(id_col),
+        *[F.col(f"`{c}`") for c in kept],
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
@@ -273,8 +277,14 @@ def near_duplicates(
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that have the least id of their group, with their columns.
 
-    Rows with a null id have no group to stand for and stay.
+    A row is told by its id and its text: rows of one id and different texts are judged apart, and
+    rows that repeat both stay or go together. Rows with a null id have no group to stand for and
+    stay. Null and empty texts are near-duplicates of each other. An empty table stays empty.
     """
-    heads = near_duplicates(docs, id_col, text_col)
-    others = heads.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(others, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, size = fresh_name(docs, "_text_key"), fresh_name(docs, "_text_size")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    told = docs.withColumn(key, F.xxhash64(text)).withColumn(size, F.octet_length(text))
+    heads = near_duplicates(told, id_col, text_col, keep=[key, size])
+    others = heads.where(F.col(f"`{id_col}`") != F.col("component_id")).select(f"`{id_col}`", key, size).distinct()
+    left = told.join(others, [id_col, key, size], "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

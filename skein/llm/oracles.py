@@ -48,27 +48,18 @@ FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN owners USING (doc_id)
 OP5 = f"""
 WITH docs AS (SELECT doc_id, {WORDS} AS w FROM documents),
 tokens AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM docs),
-counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY 1),
-total AS (SELECT sum(n) AS total FROM counts),
-steps AS (SELECT n, sum(count(*)) OVER (ORDER BY n DESC) AS words FROM counts GROUP BY n),
-least_count AS (SELECT min(n) AS least FROM steps WHERE words <= 65535),
-named AS (
-  SELECT doc_id, i, CASE WHEN n >= least THEN word END AS word
-  FROM tokens JOIN counts USING (word), least_count
-),
-ones AS (SELECT word, count(*) AS n FROM named GROUP BY 1),
-pairs AS (
-  SELECT doc_id, i, word, i > 0 AS follows, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM named
-),
-twos AS (SELECT before, word, count(*) AS n FROM pairs WHERE follows GROUP BY 1, 2),
+ones AS (SELECT word, count(*) AS n FROM tokens GROUP BY 1),
+total AS (SELECT sum(n) AS total FROM ones),
+pairs AS (SELECT doc_id, i, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM tokens),
+twos AS (SELECT before, word, count(*) AS n FROM pairs WHERE i > 0 GROUP BY 1, 2),
 scored AS (
   SELECT p.doc_id, CASE
-      WHEN NOT follows THEN ln(one.n) - ln(total)
+      WHEN i = 0 THEN ln(one.n) - ln(total)
       WHEN two.n >= 2 THEN ln(two.n) - ln(prior.n)
       ELSE ln(0.4) + ln(one.n) - ln(total) END AS s
-  FROM pairs p JOIN ones one ON one.word IS NOT DISTINCT FROM p.word
-  LEFT JOIN twos two ON follows AND two.before IS NOT DISTINCT FROM p.before AND two.word IS NOT DISTINCT FROM p.word
-  LEFT JOIN ones prior ON follows AND prior.word IS NOT DISTINCT FROM p.before, total
+  FROM pairs p JOIN ones one ON one.word = p.word
+  LEFT JOIN twos two ON two.before = p.before AND two.word = p.word
+  LEFT JOIN ones prior ON prior.word = p.before, total
 ),
 sums AS (SELECT doc_id, sum(s) AS s FROM scored GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0), 6) AS log_score,

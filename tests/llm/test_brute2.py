@@ -3,11 +3,18 @@
 import hashlib
 import math
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from skein.llm import queries
-from skein.llm.near_dedup import near_duplicates
+from skein.llm.near_dedup import near_duplicates, plant
 from skein.llm.pii import luhn
 from tests.conftest import SMALL, rows_of
 from tests.llm.test_brute import (
@@ -104,7 +111,6 @@ def test_lm_scores_equal_counting(spark):
         ones.update(w)
         twos.update(zip(w, w[1:], strict=False))
     total = sum(ones.values())
-    assert len(ones) < 65_535
     found = {r.doc_id: r for r in queries.op5_lm_score(spark, SMALL).collect()}
     for d in docs:
         w, score = words(d.text), 0.0
@@ -155,12 +161,48 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     heads = brute_components({d.doc_id: brute_fingerprint(d.text) for d in docs})
     docs = [d for d in docs if heads[d.doc_id] == d.doc_id]
     flags = brute_contamination(docs, items)
-    want = {d.doc_id for d in docs if not flags[d.doc_id][4]}
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == want
+    docs = {d.doc_id: d for d in docs if not flags[d.doc_id][4]}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, used = defaultdict(list), defaultdict(list)
+    for r in corpus_pipeline.run(spark, SMALL).collect():
+        pieces[r.doc_id].append(r)
+        used[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(docs)
+    for key, rows in pieces.items():
+        ids, at = tokenizer.encode(docs[key].text, add_special_tokens=False).ids + [2], 0
+        for r in sorted(rows, key=lambda r: r.start):
+            part = ids[at : at + r.length]
+            assert (r.start, r.length, r.doc_tokens) == (at, len(part), len(ids))
+            assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            at += r.length
+        assert at == len(ids)
+    for spans in used.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at == 4096 or at & (at - 1) == 0
+
+
+@pytest.mark.parametrize("blocks, radius, depth", [(3, 4, 6), (2, 4, 5), (1, 4, 4), (3, 4, 13)])
+def test_trees_prune_no_link(blocks, radius, depth):
+    """Every pair within the radius meets: one of them at home where the other comes."""
+    rng = np.random.default_rng(depth)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    near = base.copy()
+    for _ in range(radius):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near)).astype(np.uint64)
+    forest = plant(base, (1 << 64) - 1, blocks, radius, depth)
+    met = np.zeros(len(base), bool)
+    for tree in forest:
+        rows, leaf = tree.visit(near)
+        met[rows[leaf == tree.home(base)[rows]]] = True
+        assert depth < 5 or len(rows) < len(base) << depth
+    assert met.all()
 
 
 def test_one_tree_over_all_bits_finds_the_same_components(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     a = near_duplicates(docs)
-    for blocks, shard in ((1, 8192), (2, 8192), (5, 20)):
+    for blocks, shard in ((1, 8192), (2, 8192), (3, 20), (5, 20)):
         assert rows_of(near_duplicates(docs, blocks=blocks, shard=shard)) == rows_of(a)

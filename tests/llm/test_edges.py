@@ -25,7 +25,8 @@ from tests.llm.test_brute2 import brute_removed
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns with the names that operators use or add.
-CLASHING = ["fp", "key", "kept", "score", "lang_pred", "n_words", "units", "_text", "n_bytes", "hash"]
+CLASHING = ["_n", "_hits", "_items", "_rows", "_keep", "_sha", "_text_sha", "_text_key", "_text_size", "n_hit", "contaminated"]
+CLASHING += ["component_id", "fingerprint", "_id", "keep_id", "text_sha256", "fp", "key", "kept", "score", "lang_pred", "n_words", "units", "_text", "n_bytes", "hash"]
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +105,39 @@ def test_near_ties(spark, odd):
     assert {r.doc_id for r in kept.collect()} >= {0, 3, None}
 
 
+def test_stages_give_back_the_input_values(spark, odd, clashing, tmp_path):
+    items_of(spark).write.parquet(str(tmp_path / "benchmark.parquet"))
+    numbered = clashing.select(*[F.concat(F.lit(f"{c} "), "doc_id").alias(c) if c in CLASHING else c for c in clashing.columns])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, numbered, str(tmp_path))
+        assert kept.columns == numbered.columns
+        got, want = rows_of(kept), rows_of(numbered)
+        assert got and set(got) <= set(want)
+
+
+def test_rows_of_one_id_and_different_texts_are_judged_apart(spark):
+    rows = [(1, "some text here now"), (2, "some text here now"), (2, "quite another one it is, of other words"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(drop_near_copies(docs)) == sorted([rows[0], rows[2], rows[3]], key=repr)
+
+
+def test_without_labels_no_document_goes(spark, odd):
+    blank = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, blank, "").count() == odd.count()
+
+
+def test_long_texts_are_scored_in_stretches(monkeypatch, spark, odd):
+    from skein.llm import language
+
+    model = fit_language_model(odd)
+    texts = [r.text for r in odd.collect()] + ["ab " * 5000]
+    whole = model.predict(texts)
+    monkeypatch.setattr(language, "CELLS", 7)
+    parts = model.predict(texts)
+    assert [w[0] for w in whole] == [p[0] for p in parts]
+    assert all(abs(w[1] - p[1]) < 1e-9 for w, p in zip(whole, parts, strict=True))
+
+
 def test_contamination_of_short_items(spark, odd):
     got = {r.doc_id: r for r in decontaminate(odd, items_of(spark)).collect()}
     assert got[4].contaminated and got[4].hit_items == ["1"] and got[4].n_hit == 3
