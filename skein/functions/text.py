@@ -124,3 +124,20 @@ def github_raw(url: Column) -> Column:
         .when(url.rlike(tree), F.raise_error(F.lit("a folder has no raw address")).cast("string"))
         .otherwise(url)
     )
+
+
+def html_escape(text: Column) -> Column:
+    """Markup characters and quotes as references, the ampersand first."""
+    for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(mark), F.lit(name))
+    return text
+
+
+def relation_words(relation: Column) -> Column:
+    """WORKS_FOR as ``works for``."""
+    return F.lower(F.replace(relation, F.lit("_"), F.lit(" ")))
+
+
+def seeded(key: Column, seed: int) -> Column:
+    """A number that stands for a place in an order drawn by ``seed``."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", F.lit(str(seed)), key.cast("string"))), 1, 12), 16, 10).cast("long")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 # fixed values: abbreviations that do not end a sentence
 ABBREVIATIONS = (
-    "mr", "mrs", "ms", "dr", "prof", "sr", "jr", "vs", "etc", "e.g", "i.e", "fig", "no", "vol", "approx",
-    "dept", "est", "inc", "st",
+    "mr", "mrs", "ms", "dr", "prof", "rev", "st", "gen", "rep", "sen", "ph.d", "m.d", "b.a", "m.a", "b.s", "m.s",
+    "e.g", "i.e", "etc",
 )
 SENTENCE_END = re.compile(r"([.!?]+)\s+")
 
@@ -22,17 +22,22 @@ def estimate(text: str) -> int:
 
 
 def split_sentences(text: str) -> list[str]:
-    """Pieces up to ``.!?`` before white space; one that ends in an abbreviation goes on."""
-    out, start = [], 0
-    for m in SENTENCE_END.finditer(text):
-        piece = text[start : m.end(1)]
-        last = piece.rsplit(None, 1)[-1].rstrip(".!?").lower() if piece.strip() else ""
-        if last in ABBREVIATIONS and m.group(1) == ".":
-            continue
-        out.append(piece.strip())
-        start = m.end()
-    out.append(text[start:].strip())
-    return [s for s in out if s]
+    """Pieces up to marks ``.!?`` before white space; a piece whose last word is an abbreviation
+    goes on with the next. Marks with nothing before them are dropped."""
+    text = text.strip()
+    ends = [(m.start(), m.end(1), m.end()) for m in SENTENCE_END.finditer(text)]
+    out: list[str] = []
+    held: list[str] = []
+    start = 0
+    for stop, marks, after in [*ends, (len(text),) * 3]:
+        body = text[start:stop].strip()
+        start = after
+        if body:
+            held.append(body + text[stop:marks])
+            if body.split()[-1].lower() not in ABBREVIATIONS:
+                out.append(" ".join(held))
+                held = []
+    return out + ([" ".join(held)] if held else [])
 
 
 def semantic(text: str, size: int = 1000, overlap: int = 200, length: Callable = estimate) -> list[str]:
@@ -56,23 +61,21 @@ def semantic(text: str, size: int = 1000, overlap: int = 200, length: Callable =
 
 
 def recursive(text: str, size: int = 1000, overlap: int = 100) -> list[str]:
-    """Windows of ``size`` characters that end at the last paragraph, line or word end past the
-    overlap, else at the window's end; the next starts ``overlap`` characters before."""
+    """Windows of ``size`` characters that end after their last paragraph end, or if they have
+    none their last line end, or else word end; where that lies within the overlap, at the full
+    size. The next window starts ``overlap`` characters before the end."""
     if size <= 0 or not 0 <= overlap < size:
         raise ValueError("needs size > 0 and 0 <= overlap < size")
     out, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            for mark in ("\n\n", "\n", " "):
-                at = text.rfind(mark, start, end)
-                if at > start + overlap:
-                    end = at + len(mark)
-                    break
-        out.append(text[start:end].strip())
-        if end == len(text):
-            break
-        start = max(end - overlap, start + 1)
+    while len(text) - start > size:
+        end = start + size
+        found = ((text.rfind(mark, start, end), len(mark)) for mark in ("\n\n", "\n", " "))
+        at = next((i + n for i, n in found if i >= 0), -1)
+        if at <= start + overlap:
+            at = end
+        out.append(text[start:at].strip())
+        start = at - overlap
+    out.append(text[start:].strip())
     return [c for c in out if c]
 
 
@@ -148,13 +151,30 @@ def with_parents(docs: DataFrame, parent_size: int = 1500, child_size: int = 300
     return chunk(parents, "recursive", size=child_size, overlap=0).withColumnRenamed("source_id", "parent_id")
 
 
-def similarity_breaks(sentences: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Groups sentences (doc, idx, embedding): a new group where the cosine with the sentence
-    before falls under ``threshold``."""
+def similarity_breaks(sentences: DataFrame, threshold: float = 0.5, most: int | None = None) -> DataFrame:
+    """Groups sentences (doc, idx, embedding, and with ``most`` their length): a new group where
+    the cosine with the sentence before falls under ``threshold``, or where the group would get
+    longer than ``most``. A document's sentences are folded in order, in one row a document."""
     from skein.functions.text import cosine
 
     order = Window.partitionBy("doc").orderBy("idx")
     before = F.lag("embedding").over(order)
     starts = F.when(before.isNull() | (cosine(before, F.col("embedding")) < threshold), 1).otherwise(0)
     marked = sentences.withColumn("_start", starts)
-    return marked.withColumn("group", F.sum("_start").over(order)).drop("_start")
+    if most is None:
+        return marked.withColumn("group", F.sum("_start").over(order)).drop("_start")
+    items = F.array_sort(F.collect_list(F.struct("idx", "_start", F.col("length").cast("long").alias("n"))))
+    zero = F.struct(
+        F.lit(0).cast("long").alias("group"), F.lit(0).cast("long").alias("total"), F.array().cast("array<bigint>").alias("groups")
+    )
+
+    def step(state: Column, item: Column) -> Column:
+        new = (item["_start"] == 1) | (state["total"] + item["n"] > most)
+        group = state["group"] + new.cast("long")
+        total = F.when(new, item["n"]).otherwise(state["total"] + item["n"])
+        return F.struct(group.alias("group"), total.alias("total"), F.concat(state["groups"], F.array(group)).alias("groups"))
+
+    folded = marked.groupBy("doc").agg(items.alias("items")).withColumn("groups", F.aggregate("items", zero, step)["groups"])
+    told = folded.select("doc", F.explode(F.arrays_zip(F.transform("items", lambda x: x["idx"]).alias("idx"), "groups")).alias("z"))
+    told = told.select("doc", F.col("z.idx").alias("idx"), F.col("z.groups").alias("group"))
+    return sentences.join(told, ["doc", "idx"])

@@ -153,3 +153,51 @@ def retrieval_failures(results: DataFrame, expected: DataFrame) -> DataFrame:
         (F.col("broad") > 0.5).alias("too_many_broad_chunks"),
         F.col("fallback").alias("fallback_chunk_involved"),
     )
+
+
+def match_nodes(queries: DataFrame, nodes: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """(query_id, node_id): nodes whose name is an identifier of the query (three or more
+    characters) or contains one of four or more, and the files of results (query_id, file_path).
+
+    Containment is an equi-join: names are cut into their runs of the lengths asked for.
+    """
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z_][A-Za-z0-9_.]{2,}\b"), F.lit(0)))
+    asked = queries.select("query_id", F.explode(words).alias("token"))
+    names = nodes.select("name").distinct()
+    sizes = F.broadcast(asked.where(F.length("token") >= 4).select(F.length("token").alias("n")).distinct())
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    runs = names.join(sizes, F.length("name") >= F.col("n")).select(
+        "name", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("name", i, F.col("n"))))).alias("token")
+    )
+    whole = names.select("name", F.col("name").alias("token"))
+    found = runs.union(whole).join(asked, "token").select("query_id", "name").join(nodes.select("name", "node_id"), "name")
+    matched = found.select("query_id", "node_id")
+    if results is not None:
+        files = results.select("query_id", F.col("file_path").alias("node_id")).join(nodes.select("node_id"), "node_id", "left_semi")
+        matched = matched.unionByName(files.select("query_id", "node_id"))
+    return matched.distinct()
+
+
+def lexical_variants(query_tokens: DataFrame) -> DataFrame:
+    """(query_id, variant) of code identifiers (query_id, token) for the lexical channel alone: the
+    words of camel and snake case, the last part of a dotted path, and the token itself; tokens of
+    under four characters make none."""
+    token = F.col("token")
+    camel = F.filter(F.regexp_extract_all(token, F.lit(r"([A-Z][a-z0-9]*|[a-z][a-z0-9]*)"), F.lit(1)), lambda p: F.length(p) >= 2)
+    pieces = F.size(F.regexp_extract_all(token, F.lit(r"([A-Z][a-z0-9]*|[a-z][a-z0-9]*)"), F.lit(1)))
+    snake = F.filter(F.split(token, "_"), lambda p: F.length(p) >= 2)
+    base = F.regexp_extract(token, r"([^.]*)$", 1)
+    forms = F.array(
+        F.when(pieces > 1, F.array_join(camel, " ")),
+        F.when(F.contains(token, F.lit("_")) & (F.size(snake) > 1), F.array_join(snake, " ")),
+        F.when(F.contains(token, F.lit(".")) & (F.length(base) >= 4), base),
+        token,
+    )
+    rows = query_tokens.where(F.length("token") >= 4).select("query_id", F.explode(F.array_compact(forms)).alias("variant"))
+    return rows.where("variant <> ''").distinct()
+
+
+def new_edges(made: DataFrame, stored: DataFrame) -> DataFrame:
+    """Edges (source, target, edge_type) of a new build that are not stored yet, each once."""
+    key = ["source", "target", "edge_type"]
+    return made.dropDuplicates(key).join(stored.select(*key), key, "left_anti")

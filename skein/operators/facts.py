@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.text import html_escape, relation_words
 from skein.operators.graph import hops
 
 
@@ -86,3 +87,33 @@ def pair_weights(facts: DataFrame) -> DataFrame:
     )
     summed = ends.groupBy("u", "v").agg(F.round(F.sum("confidence"), 6).alias("weight"))
     return summed.withColumn("distance", F.round(1 / (F.col("weight") + 1e-6), 6))
+
+
+def fact_payload(facts: DataFrame, entities: DataFrame, limit: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, type, tooltip) and links (source, target, label, relation, value, width) of
+    the ``limit`` surest active facts, a viewer's limit; ties go to the smaller fact_id.
+
+    ``entities`` has (entity, type, description); others are UNKNOWN.
+    """
+    best = facts.where("status = 'active'").orderBy(F.desc("confidence"), "fact_id").limit(limit)
+    day = F.substring(F.col("valid_at").cast("string"), 1, 10)
+    label = F.concat(relation_words(F.col("relation")), F.coalesce(F.concat(F.lit(" ("), day, F.lit(")")), F.lit("")))
+    links = best.select(
+        F.col("subject").alias("source"),
+        F.col("object").alias("target"),
+        label.alias("label"),
+        "relation",
+        F.col("confidence").alias("value"),
+        (1 + F.col("confidence")).alias("width"),
+    )
+    ends = best.select(F.col("subject").alias("id")).union(best.select("object")).distinct()
+    told = ends.join(entities.withColumnRenamed("entity", "id"), "id", "left")
+    text = F.coalesce("description", F.lit(""))
+    tooltip = F.concat(F.lit("<b>"), html_escape(F.col("id")), F.lit("</b><br/>"), html_escape(F.substring(text, 1, 220)))
+    nodes = told.select("id", F.substring("id", 1, 24).alias("label"), F.coalesce("type", F.lit("UNKNOWN")).alias("type"), tooltip.alias("tooltip"))
+    return nodes, links
+
+
+def fact_texts(facts: DataFrame) -> DataFrame:
+    """(fact_id, text): a fact as a sentence for a context."""
+    return facts.select("fact_id", F.concat_ws(" ", "subject", relation_words(F.col("relation")), "object").alias("text"))

@@ -164,12 +164,16 @@ def expand_results(
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, community) by weighted label propagation: each node takes the label with the most
-    weight among its neighbours (ties: its own label, then the least), synchronously, with its own
-    label counted once, until nothing changes or ``rounds`` are over.
+def communities(edges: DataFrame) -> DataFrame:
+    """(node, community) by weighted label propagation until no node would rather move.
 
-    It stands for modularity search, whose greedy moves are sequential over the whole graph.
+    A node would move if a neighbouring label has more weight among its neighbours than its own
+    (the heaviest, of equals the least). In a round half of those nodes move, by hash; if that does
+    not raise the weight within communities, only nodes move that come before all their
+    neighbours who would move too. Such a round always raises it, so the rounds end.
+
+    It stands for modularity search, whose greedy moves are sequential over the whole graph. Loops
+    are ignored; an edge given twice counts with both weights.
     """
     pairs = edges.select("src", "dst", F.col("weight").cast("double"))
     both = cut_lineage(
@@ -179,31 +183,145 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
         .agg(F.sum("weight").alias("weight"))
     )
     labels = cut_lineage(both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
-    for step in range(rounds):
+    inside, step = 0.0, 0
+    while True:
         votes = (
             both.join(labels.withColumnRenamed("node", "dst"), "dst")
             .groupBy(F.col("src").alias("node"), "community")
-            .agg(F.sum("weight").alias("w"))
-        )
-        best = votes.groupBy("node").agg(F.max("w").alias("most"))
-        top = votes.join(best, "node").where("w = most").groupBy("node").agg(
-            F.min("community").alias("least"), F.collect_set("community").alias("tied")
+            .agg(F.round(F.sum("weight"), 6).alias("w"))
         )
-        joined = labels.join(top, "node")
-        stay = F.array_contains("tied", F.col("community"))
-        # half of the nodes move in a round, which ends two-cycles
-        moves = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
-        new = cut_lineage(
-            joined.select(
-                "node",
-                F.when(stay | ~moves, F.col("community")).otherwise(F.col("least")).alias("community"),
-                (~stay).alias("unhappy"),
+        best = votes.groupBy("node").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"))
+        own = labels.join(votes, ["node", "community"], "left").select("node", "community", F.coalesce("w", F.lit(0.0)).alias("own"))
+        wish = cut_lineage(
+            own.join(best, "node").select(
+                "node", "community", F.col("best.community").alias("wished"), (-F.col("best.w") > F.col("own")).alias("moves")
             )
         )
-        labels = new.select("node", "community")
-        if new.where("unhappy").isEmpty():
+        if wish.where("moves").isEmpty():
+            return labels
+        half = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
+        moved = cut_lineage(moved_labels(wish, F.col("moves") & half))
+        weight = inside_weight(both, moved)
+        if weight <= inside:
+            first = F.struct(F.xxhash64("node", F.lit(step)), "node")
+            movers = wish.where("moves").select("node", first.alias("turn"))
+            others = both.join(movers.select(F.col("node").alias("dst"), F.col("turn").alias("other")), "dst")
+            others = others.groupBy(F.col("src").alias("node")).agg(F.max("other").alias("other"))
+            free = movers.join(others, "node", "left").where("other IS NULL OR turn > other").select("node", F.lit(True).alias("free"))
+            moved = cut_lineage(moved_labels(wish.join(free, "node", "left"), F.coalesce("free", F.lit(False))))
+            weight = inside_weight(both, moved)
+        labels, inside, step = moved, weight, step + 1
+
+
+def moved_labels(wish: DataFrame, goes: Column) -> DataFrame:
+    return wish.select("node", F.when(goes, F.col("wished")).otherwise(F.col("community")).alias("community"))
+
+
+def inside_weight(both: DataFrame, labels: DataFrame) -> float:
+    """The weight of edges within communities."""
+    a = labels.select(F.col("node").alias("src"), F.col("community").alias("a"))
+    b = labels.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+    joined = both.join(a, "src").join(b, "dst").where("a = b")
+    return float(joined.agg(F.coalesce(F.round(F.sum("weight"), 6), F.lit(0.0))).first()[0])
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst, ...) of the largest connected component; of equals that of the least node."""
+    groups = connected_components(edges)
+    sizes = groups.groupBy("component").count()
+    head = sizes.orderBy(F.desc("count"), "component").limit(1).select("component")
+    nodes = groups.join(F.broadcast(head), "component").select(F.col("node").alias("src"))
+    return edges.join(nodes, "src", "left_semi")
+
+
+def hierarchical_communities(edges: DataFrame, most: int = 10, levels: int = 4) -> DataFrame:
+    """(node, level, community): communities, and those of over ``most`` nodes split again by
+    their inner edges alone, ``levels`` deep at most. A finer community's name starts with that of
+    the community it is part of; one that no longer splits keeps it."""
+    inner = edges.select("src", "dst", "weight")
+    current = communities(inner).select("node", F.col("community").cast("string").alias("community"))
+    found = current.withColumn("level", F.lit(0))
+    for level in range(1, levels):
+        big = current.groupBy("community").count().where(F.col("count") > most).select("community")
+        if big.isEmpty():
             break
-    return labels
+        a = current.select(F.col("node").alias("src"), F.col("community").alias("a"))
+        b = current.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+        kept = inner.join(a, "src").join(b, "dst").where("a = b").join(big.withColumnRenamed("community", "a"), "a", "left_semi")
+        # within a community all edges bind: those lighter than its mean are left out
+        mean = kept.groupBy("a").agg(F.avg("weight").alias("mean"))
+        kept = kept.join(mean, "a").where("weight >= mean")
+        finer = communities(kept.select("src", "dst", "weight")).withColumnRenamed("community", "part")
+        name = F.when(F.col("part").isNotNull(), F.concat_ws("/", "community", "part")).otherwise(F.col("community"))
+        current = cut_lineage(current.join(finer, "node", "left").select("node", name.alias("community")))
+        found = found.unionByName(current.withColumn("level", F.lit(level)))
+    return found.select("node", "level", "community")
+
+
+def member_hash(labels: DataFrame) -> DataFrame:
+    """(level, community, size, member_hash): a hash of the level and the set of members, made of
+    sums of the members' hashes, so that a community of any size is summed and never gathered."""
+    node = F.md5(F.col("node").cast("string"))
+    lanes = [F.sum(F.conv(F.substring(node, 1 + 8 * k, 8), 16, 10).cast("long")).cast("string") for k in range(4)]
+    summed = labels.groupBy("level", "community").agg(F.count(F.lit(1)).alias("size"), F.concat_ws("-", *lanes).alias("lanes"))
+    whole = F.md5(F.concat_ws("|", F.col("level").cast("string"), "lanes"))
+    return summed.select("level", "community", "size", whole.alias("member_hash"))
+
+
+def top_communities(sizes: DataFrame, least: int = 3, most: int = 15) -> DataFrame:
+    """The ``most`` largest communities of each level (level, community, size) that have at least
+    ``least`` members, with their rank; the others get a template instead of a model's summary."""
+    order = Window.partitionBy("level").orderBy(F.desc("size"), "community")
+    ranked = sizes.where(F.col("size") >= least).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= most)
+
+
+def reports_of_level(reports: DataFrame, level: int) -> DataFrame:
+    """The reports of a level, or all where that level has none."""
+    some = reports.where(F.col("level") == level).select(F.lit(True).alias("some")).limit(1)
+    joined = reports.join(F.broadcast(some), F.lit(True), "left")
+    return joined.where(F.col("some").isNull() | (F.col("level") == level)).drop("some")
+
+
+def reports_to_index(reports: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(id, text, level, title): non-empty reports (key, text, level, title, member_hash) whose
+    member hash differs from that of their last indexing (key, indexed_hash)."""
+    told = reports.where(F.coalesce("text", F.lit("")) != "").join(indexed, "key", "left")
+    new = told.where(F.col("indexed_hash").isNull() | (F.col("indexed_hash") != F.col("member_hash")))
+    return new.select(F.concat(F.lit("__community__"), "key").alias("id"), "text", "level", "title")
+
+
+def shuffled(rows: DataFrame, seed: int = 42, key: str = "id") -> DataFrame:
+    """Rows with their place in an order that depends on ``seed`` and their key alone."""
+    from skein.functions.text import seeded
+
+    return rows.withColumn("turn", seeded(F.col(key), seed))
+
+
+def graph_status(entities: DataFrame, relations: DataFrame, labels: DataFrame, reports: DataFrame) -> DataFrame:
+    """One row: entities, relations, communities, community_summaries."""
+    counts = [
+        entities.agg(F.count(F.lit(1)).alias("entities")),
+        relations.agg(F.count(F.lit(1)).alias("relations")),
+        labels.agg(F.count_distinct("community").alias("communities")),
+        reports.agg(F.count(F.lit(1)).alias("community_summaries")),
+    ]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).crossJoin(counts[3])
+
+
+def filter_nodes(nodes: DataFrame, types: tuple[str, ...] = (), least_degree: int = 0, limit: int | None = None) -> DataFrame:
+    """Nodes (id, type, degree, ...) of the given types and at least a degree; ``limit`` is a
+    viewer's and takes them by degree, then id."""
+    kept = nodes.where(F.col("type").isin(*types)) if types else nodes
+    kept = kept.where(F.col("degree") >= least_degree)
+    return kept if limit is None else kept.orderBy(F.desc("degree"), "id").limit(limit)
+
+
+def node_evidence(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(entity, chunk_id, source, excerpt): the known chunks of each entity, 200 characters of each."""
+    told = chunks.select(F.col("id").alias("chunk_id"), "source", F.substring("text", 1, 200).alias("excerpt"))
+    named = mentions.select(F.lower(F.trim("name")).alias("entity"), "chunk_id").distinct()
+    return named.join(told, "chunk_id").select("entity", "chunk_id", "source", "excerpt")
 
 
 def parent_communities(fine: DataFrame, coarse: DataFrame) -> DataFrame:
@@ -244,7 +362,7 @@ def community_template(labels: DataFrame, names: int = 5) -> DataFrame:
 
 def alias_groups(vectors: DataFrame, floor: float = 0.92) -> DataFrame:
     """(node, component) of entities (id, embedding) linked by a cosine of at least ``floor``."""
-    return connected_components(similar_pairs(vectors, floor))
+    return connected_components(similar_pairs(vectors, floor, forest=True))
 
 
 def graph_payload(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -77,3 +77,29 @@ def conflicting_descriptions(mentions: DataFrame, least: int = 3, most: int = 10
     enough = firsts.groupBy("entity").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("m"))
     chosen = enough.where((F.col("k") > 1) & (F.col("m") >= least))
     return listed.join(chosen, "entity").select("entity", F.transform("d", lambda x: x["description"]).alias("descriptions"))
+
+
+def unextracted(chunks: DataFrame, mentions: DataFrame) -> DataFrame:
+    """Chunks (id, ...) that no entity was taken from yet."""
+    return chunks.join(mentions.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_anti")
+
+
+# fixed values: relation types that are known from the start
+RELATIONS = (
+    "WORKS_FOR", "KNOWS", "LOCATED_IN", "PART_OF", "OWNS", "CREATED_BY", "RELATED_TO", "CAUSES", "IS_A", "HAS",
+    "MENTIONS", "CONTRADICTS",
+)
+
+
+def known_relation(relation: Column, extra: tuple[str, ...] = ()) -> Column:
+    """Whether a relation type is registered, in any case."""
+    return F.upper(relation).isin(*RELATIONS, *[e.upper() for e in extra])
+
+
+def relation_types(relations: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(relation, n, known): the types in use and those registered, with their numbers of uses."""
+    used = relations.groupBy(F.upper("relation").alias("relation")).agg(F.count(F.lit(1)).alias("n"))
+    listed = sorted({*RELATIONS, *[e.upper() for e in extra]})
+    registered = relations.sparkSession.createDataFrame([(r,) for r in listed], "relation string")
+    joined = used.join(registered.withColumn("known", F.lit(True)), "relation", "full")
+    return joined.select("relation", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("known", F.lit(False)).alias("known"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,16 +34,20 @@ CODE_EXTENSIONS = (
     "py", "ts", "js", "go", "rs", "java", "cpp", "c", "h", "hpp", "sh", "bash", "zsh", "rb", "pl", "pm",
     "jl", "kt", "swift", "jsx", "tsx", "cs", "php", "scala",
 )
+#: of these, those that mark a query as one about code
+QUERY_EXTENSIONS = ("py", "go", "rs", "ts", "js", "sh", "rb", "jl", "cpp", "c", "java", "kt")
 MANIFESTS = (
     "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "requirements.txt",
     "requirements-dev.txt", "pipfile", "pipfile.lock", "pyproject.toml", "setup.cfg", "setup.py",
     "cargo.toml", "cargo.lock", "go.mod", "go.sum", "composer.json", "composer.lock", "gemfile",
     "gemfile.lock", "podfile", "podfile.lock", ".gitmodules", "cmakelists.txt", "makefile", "dockerfile",
 )
+# fixed values: paths of reference pages, lines and words that tell code, papers and notes
 REFERENCE = ("/api/", "/apidocs/", "/api-docs/", "/swagger/", "/openapi/", "/reference/", "/javadoc/", "/doxygen/")
 CODE_LINE = r"^(def |class |import |from |fn |func |//|#!|public |private |protected |package |using |namespace )"
 PAPER = r"\b(Abstract|Introduction|References|DOI|arXiv|Figure \d|Conclusion|Methodology)\b"
 DOC = r"(?m)(^#{1,3} |\*\*\w|\bChapter\b|\bNote:\b|\bStep \d|^\d+\.\s)"
+# fixed values: words of a query about code
 SYMBOL_WORDS = ("function", "class", "method", "def", "module", "import", "variable", "struct", "interface", "enum")
 
 #: (summaries, graph) allowed by dataset type; others get both
@@ -81,7 +86,7 @@ def needs_graph(query: Column) -> Column:
 
 def looks_like_code(query: Column) -> Column:
     """camelCase, snake_case, a file extension or a symbol word."""
-    extension = r"\.(" + "|".join(CODE_EXTENSIONS) + ")"
+    extension = r"\.(" + "|".join(QUERY_EXTENSIONS) + ")"
     symbol = r"(?i)(^|\s)(" + "|".join(SYMBOL_WORDS) + r")(\s|$)"
     return query.rlike("[a-z][A-Z]") | query.rlike("[a-z]_[a-z]") | query.rlike(extension) | query.rlike(symbol)
 
@@ -89,7 +94,7 @@ def looks_like_code(query: Column) -> Column:
 def code_tokens(query: Column) -> Column:
     """Lower-cased file stems, qualified names and their parts, identifiers of 4 or more
     characters, and camel and snake parts of 3 or more."""
-    extension = "|".join(CODE_EXTENSIONS)
+    extension = "|".join(QUERY_EXTENSIONS)
     stems = F.regexp_extract_all(query, F.lit(rf"\b(\w+)\.(?:{extension})\b"), F.lit(1))
     names = F.regexp_extract_all(query, F.lit(r"\b([A-Za-z_]\w+\.[A-Za-z_]\w+)\b"), F.lit(1))
     parts = F.flatten(F.transform(names, lambda n: F.split(n, r"\.")))
@@ -114,15 +119,9 @@ def dataset_type(text: Column, source: Column) -> Column:
     code = F.size(F.filter(lines, lambda x: F.ltrim(x).rlike(CODE_LINE)))
     code_ratio = F.when(n > 0, code / n).otherwise(F.lit(0.0))
     start = F.trim(F.substring(text, 1, 2000))
-    talk = start.rlike(r'^[\[{]') & (
-        F.get_json_object(text, "$.role").isNotNull()
-        | F.get_json_object(text, "$.turn").isNotNull()
-        | F.get_json_object(text, "$.messages").isNotNull()
-        | F.get_json_object(text, "$.speaker").isNotNull()
-        | F.get_json_object(text, "$[0].role").isNotNull()
-        | F.get_json_object(text, "$[0].turn").isNotNull()
-        | F.get_json_object(text, "$[0].messages").isNotNull()
-        | F.get_json_object(text, "$[0].speaker").isNotNull()
+    talk = start.rlike(r'^[\[{]') & reduce(
+        Column.__or__,
+        [F.get_json_object(start, f"{at}.{k}").isNotNull() for at in ("$", "$[0]") for k in ("role", "turn", "messages", "speaker")],
     )
     fenced = text.contains("```") | text.contains("    def ") | text.contains("    class ")
     papers = F.size(F.regexp_extract_all(F.substring(text, 1, 2000), F.lit(PAPER), F.lit(1)))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -91,50 +90,80 @@ def bm25_search(
     text_col: str = "text",
     k1: float = K1,
     b: float = B,
+    block: int = 2000,
 ) -> DataFrame:
     """(query_id, id, score, rank): BM25 of a stated set of queries over all documents, unindexed.
 
-    Two native passes count the documents that hold each query term and the mean length; a third
-    scores whole documents where they lie, in Arrow batches against the broadcast terms, and hands
-    on the k best rows a query and batch. Nothing is shuffled but those and the counts. The set of
-    queries is collected: it is the caller's, not the corpus's.
+    The queries are taken in blocks of about ``block``. For a block one pass over the documents
+    counts those that hold each of its terms and the lengths; a second scores whole documents where
+    they lie: a batch is a matrix of term weights, multiplied by the queries' terms, and hands on
+    its k best rows a query. Nothing is shuffled but those and the counts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = queries.select("query_id").schema.add("id", rows.schema["id"].dataType).add("score", "double")
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for number in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        near = bm25_block(rows, part, k, k1, b, schema)
+        found = near if found is None else found.unionByName(near)
+    return top_k(found, k)
+
+
+def bm25_block(rows: DataFrame, queries: DataFrame, k: int, k1: float, b: float, schema: T.StructType) -> DataFrame:
     asked = queries.select("query_id", F.array_distinct(tokens(F.col("text"))).alias("terms")).toArrow()
     names, lists = asked["query_id"].combine_chunks(), asked["terms"].to_pylist()
-    wanted: dict[str, list[int]] = {}
-    for number, terms in enumerate(lists):
-        for term in terms:
-            wanted.setdefault(term, []).append(number)
-    schema = queries.select("query_id").schema.add("id", rows.schema["id"].dataType).add("score", "double")
-    n, words = rows.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.size(tokens(F.col("text"))).cast("long")), F.lit(0))
-    ).first()
-    vocabulary = rows.sparkSession.createDataFrame([(t,) for t in wanted], "term string")
-    held = rows.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    # as many rows as the queries have terms
-    df = held.join(F.broadcast(vocabulary), "term", "left_semi").groupBy("term").count().collect()
-    postings = {
-        r.term: (math.log((n - r["count"] + 0.5) / (r["count"] + 0.5) + 1), np.array(wanted[r.term]))
-        for r in df
-    }
+    terms = {t: i for i, t in enumerate(sorted({t for x in lists for t in x}))}
+    context = rows.sparkSession.sparkContext
+    known = context.broadcast(terms)
+
+    def count(batches):
+        """Of each term the number of documents that hold it; of all, their number and words."""
+        held, n, words = np.zeros(len(known.value) + 1, np.int64), 0, 0
+        get = known.value.get
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found = split_words(text)
+                n, words = n + 1, words + len(found)
+                held[[i for w in set(found) if (i := get(w)) is not None]] += 1
+        kept = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict(
+            {"term": np.concatenate((kept, [-1, -2])), "n": np.concatenate((held[kept], [n, words]))}
+        )
+
+    counts = rows.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = {r.term: r.n for r in counts.collect()}  # as many rows as the queries have terms
+    n, words = df.pop(-1, 0), df.pop(-2, 0)
     average = words / n if n else 0.0
-    shared = rows.sparkSession.sparkContext.broadcast((names, postings))
+    idf = np.zeros(len(terms))
+    idf[list(df)] = [math.log((n - d + 0.5) / (d + 0.5) + 1) for d in df.values()]
+    shared = context.broadcast((names, [[terms[t] for t in x] for x in lists], idf))
 
     def score(batches):
-        names, postings = shared.value
-        for batch in slices(batches, len(names)):
-            scores = np.zeros((batch.num_rows, len(names)))
+        names, lists, idf = shared.value
+        get, width = known.value.get, max(1, len(idf))
+        step = max(1, CELLS // width)
+        for batch in slices(batches, max(width, len(names))):
+            weights = np.zeros((batch.num_rows, len(idf)))
             for row, text in enumerate(batch["text"].to_pylist()):
-                found = [w for w in SPACE.split((text or "").lower()) if w]
+                found = split_words(text)
                 norm = k1 * (1 - b + b * len(found) / average) if average else k1
-                for term, tf in Counter(found).items():
-                    posting = postings.get(term)
-                    if posting is not None:
-                        scores[row, posting[1]] += posting[0] * tf * (k1 + 1) / (tf + norm)
+                own = np.array([i for w in found if (i := get(w)) is not None], np.int64)
+                term, tf = np.unique(own, return_counts=True)
+                weights[row, term] = idf[term] * tf * (k1 + 1) / (tf + norm)
+            scores = np.zeros((batch.num_rows, len(names)))
+            for at in range(0, len(names), step):
+                part = lists[at : at + step]
+                has = np.zeros((len(idf), len(part)))
+                has[[i for x in part for i in x], np.repeat(np.arange(len(part)), [len(x) for x in part])] = 1
+                scores[:, at : at + len(part)] = weights @ has
             yield from best_rows(np.round(scores, 6), names, batch["id"], k, schema.names, positive=True)
 
-    return top_k(rows.mapInArrow(score, schema), k)
+    return rows.mapInArrow(score, schema)
+
+
+def split_words(text: str | None) -> list[str]:
+    return [w for w in SPACE.split((text or "").lower()) if w]
 
 
 #: What the tokenizer splits at, as Java's white space.
@@ -218,40 +247,54 @@ def dense_search(
     return top_k(found, k)
 
 
-def similar_pairs(vectors: DataFrame, floor: float, block: int = 20_000) -> DataFrame:
-    """(src, dst) with src < dst of all vectors (id, embedding) whose cosine is at least ``floor``.
+def similar_pairs(vectors: DataFrame, floor: float, block: int = 4096, forest: bool = False) -> DataFrame:
+    """(src, dst) with src < dst of all vectors (id, embedding) whose cosine is at least ``floor``;
+    with ``forest`` only as many of them as keep linked vectors connected.
 
-    Exact: each row meets every block of at most ``block`` vectors, one broadcast after the other,
-    in matrix products; only the linked pairs come out.
+    Exact: rows are dealt by hash to k groups of about ``block``, and each pair of groups meets in
+    one task, as matrix products; a row travels k times. Nothing passes through the driver. Equal
+    vectors meet as one, which stands for its copies: a copy is linked to the least id of its kind,
+    so that copies make no pairs among each other unless all pairs are asked for.
     """
     rows = vectors.select("id", "embedding")
-    context = vectors.sparkSession.sparkContext
-    blocks = max(1, -(-rows.count() // block))
     kind = rows.schema["id"].dataType
+    if forest:
+        heads = rows.groupBy("embedding").agg(F.min("id").alias("id"))
+        copies = rows.withColumnRenamed("id", "dst").join(heads.withColumnRenamed("id", "src"), "embedding")
+        copies = copies.where("src < dst").select("src", "dst")
+        rows = heads.select("id", "embedding")
+    groups = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")
+    dealt = rows.withColumn("g", own).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    dealt = dealt.select("id", "embedding", "g", F.least("g", "h").alias("low"), F.greatest("g", "h").alias("high"))
     schema = T.StructType().add("src", kind).add("dst", kind)
-    found = None
-    for number in range(blocks):
-        other = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).toArrow()
-        if not len(other):
-            continue
-        shared = context.broadcast((other["id"].combine_chunks(), unit_rows(matrix(other["embedding"]))))
 
-        def near(batches, shared=shared):
-            names, against = shared.value
-            ids = np.array(names.to_pylist(), object)
-            for batch in batches:
-                own = unit_rows(matrix(batch["embedding"]))
-                row, col = np.nonzero(np.round(own @ against.T, 6) >= floor)
-                mine = np.array(batch["id"].to_pylist(), object)
-                ordered = np.array([a < b for a, b in zip(mine[row], ids[col], strict=True)], bool)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["id"].take(pa.array(row[ordered])), names.take(pa.array(col[ordered]))],
-                    schema.names,
-                )
-
-        pairs = rows.mapInArrow(near, schema)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found if found is not None else rows.limit(0).mapInArrow(lambda b: iter(()), schema)
+    def meet(key, table):
+        low, high = key[0].as_py(), key[1].as_py()
+        group, ids = table["g"].to_numpy(), np.array(table["id"].to_pylist(), object)
+        unit = unit_rows(matrix(table["embedding"]))
+        a, b = np.flatnonzero(group == low), np.flatnonzero(group == high)
+        label = np.arange(len(ids))
+        src: list = []
+        dst: list = []
+        step = max(1, CELLS // max(1, len(b)))
+        for at in range(0, len(a), step):
+            part = a[at : at + step]
+            row, col = np.nonzero(np.round(unit[part] @ unit[b].T, 6) >= floor)
+            for i, j in zip(part[row].tolist(), b[col].tolist(), strict=True):
+                if ids[i] == ids[j] or (low == high and not ids[i] < ids[j]):
+                    continue
+                if forest:
+                    if label[i] == label[j]:
+                        continue
+                    label[label == label[j]] = label[i]
+                src.append(min(ids[i], ids[j]))
+                dst.append(max(ids[i], ids[j]))
+        kinds = table["id"].type
+        return pa.table({"src": pa.array(src, kinds), "dst": pa.array(dst, kinds)})
+
+    pairs = dealt.groupBy("low", "high").applyInArrow(meet, schema)
+    return pairs.unionByName(copies) if forest else pairs
 
 
 def inner_product_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -275,8 +318,8 @@ def symbol_search(symbols: DataFrame, query_tokens: DataFrame, k: int = 10) -> D
     or more characters, 0.6 for one that contains it, used only for queries with under ``k``
     exact hits.
 
-    ``symbols`` has (id, symbol, qualified), ``query_tokens`` (query_id, token). Containment is
-    searched against the stated tokens only, which are broadcast.
+    ``symbols`` has (id, symbol, qualified), ``query_tokens`` (query_id, token). Containment is an
+    equi-join: names are cut into their runs of the lengths that the tokens have.
     """
     asked = query_tokens.where(F.length("token") >= 3).select("query_id", F.lower("token").alias("token"))
     asked = asked.distinct()
@@ -285,13 +328,14 @@ def symbol_search(symbols: DataFrame, query_tokens: DataFrame, k: int = 10) -> D
     by_name = names.select("id", F.col("qualified").alias("token"))
     exact = by_symbol.union(by_name).join(asked, "token").select("query_id", "id").distinct()
     enough = exact.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
-    inside = F.col("symbol").contains(F.col("token")) | F.col("qualified").contains(F.col("token"))
-    partial = (
-        names.join(F.broadcast(asked.join(enough, "query_id", "left_anti")), inside)
-        .select("query_id", "id")
-        .distinct()
-        .join(exact, ["query_id", "id"], "left_anti")
+    few = asked.join(enough, "query_id", "left_anti")
+    sizes = F.broadcast(few.select(F.length("token").alias("n")).distinct())  # at most a name's length of them
+    named = by_symbol.union(by_name).withColumnRenamed("token", "name").distinct()
+    starts = F.sequence(F.lit(1), F.length("name") - F.col("n") + 1)
+    runs = named.join(sizes, F.length("name") >= F.col("n")).select(
+        "id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("name", i, F.col("n"))))).alias("token")
     )
+    partial = runs.join(few, "token").select("query_id", "id").distinct().join(exact, ["query_id", "id"], "left_anti")
     scored = exact.withColumn("score", F.lit(1.0)).union(partial.withColumn("score", F.lit(0.6)))
     return top_k(scored, k)
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import documents, facts, graphs, ranking
+from skein.plans import code, documents, facts, graphs, ranking, records, selection
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (ranking, documents, graphs, facts)
+PARTS = (ranking, documents, graphs, facts, selection, code, records)
 
 
 def queries() -> dict[str, Query]:

@@ -121,7 +121,23 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(docs(spark, sf_dir), "semantic", id_col="doc_id", size=100, overlap=20)
 
 
-@query()
+#: Where a window that starts at ``s`` ends: after its last paragraph, line or word end, else in full.
+CUT = """CASE WHEN n - s <= 300 THEN n ELSE s + list_reduce([
+    CASE WHEN contains(w, e'\\n\\n') THEN 301 - instr(reverse(w), e'\\n\\n') WHEN contains(w, e'\\n') THEN 301 - instr(reverse(w), e'\\n')
+      WHEN contains(w, ' ') THEN 301 - instr(reverse(w), ' ') ELSE 0 END, 300], lambda a, b: CASE WHEN a > 30 THEN a ELSE b END) END"""
+
+
+@query(
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, text, len(text) AS n, 0 AS s FROM documents WHERE text <> ''),
+walk(doc_id, text, n, s, stop) AS (
+  SELECT doc_id, text, n, s, {CUT} FROM (SELECT *, substr(text, s + 1, 300) AS w FROM d)
+  UNION ALL
+  SELECT doc_id, text, n, s, {CUT} FROM (SELECT doc_id, text, n, stop - 30 AS s, substr(text, stop - 29, 300) AS w FROM walk WHERE stop < n)
+),
+c AS (SELECT doc_id, s, regexp_replace(substr(text, s + 1, stop - s), '^\s+|\s+$', '', 'g') AS chunk FROM walk),
+k AS (SELECT doc_id AS source_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS total FROM c WHERE chunk <> '')
+SELECT source_id, CAST(i AS INTEGER) AS chunk_index, concat(source_id, '_chunk_', i) AS id, chunk, CAST(total AS INTEGER) AS total_chunks FROM k"""
+)
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk(docs(spark, sf_dir), "recursive", id_col="doc_id", size=300, overlap=30)
 
@@ -212,7 +228,7 @@ def dataset_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""SELECT conv_id, turn, regexp_matches(text, '[a-z][A-Z]') OR regexp_matches(text, '[a-z]_[a-z]')
   OR regexp_matches(text, '\.(EXT)') OR regexp_matches(text, '(?i)(^|\s)(SYM)(\s|$)') AS code FROM conversations""".replace(
-        "EXT", "|".join(routing.CODE_EXTENSIONS)
+        "EXT", "py|go|rs|ts|js|sh|rb|jl|cpp|c|java|kt"
     ).replace("SYM", "|".join(routing.SYMBOL_WORDS))
 )
 def code_query_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:

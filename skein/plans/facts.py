@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import facts as ops
@@ -36,7 +36,7 @@ facts AS (
 )"""
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, at: Column | str = "ts") -> DataFrame:
     scope = F.concat_ws("|", F.col("user_id").cast("string"), "event_type")
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("fact_id"),
@@ -44,7 +44,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("relation"),
         F.concat(F.lit("o"), (F.col("event_id") % 50).cast("string")).alias("object"),
         F.when(F.col("event_type") != "view", scope).alias("scope_key"),
-        F.col("ts").alias("valid_at"),
+        (F.col(at) if isinstance(at, str) else at).alias("valid_at"),
         ((F.col("event_id") % 10 + 1) / 10).alias("confidence"),
     )
     return ops.succession(rows)
@@ -67,11 +67,15 @@ def facts_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(ops.valid_at(when)).select("fact_id", "subject", "relation")
 
 
+YEARLY = FACTS.replace("ts AS valid_at, epoch_us(ts) AS us", "date_trunc('year', ts) AS valid_at, epoch_us(date_trunc('year', ts)) AS us")
+
+
 @query(
-    f"WITH {FACTS} SELECT fact_id, subject FROM facts WHERE status = 'conflicted' ORDER BY valid_at DESC, fact_id DESC LIMIT 100"
+    f"WITH {YEARLY} SELECT fact_id, subject FROM facts WHERE status = 'conflicted' ORDER BY valid_at DESC, fact_id DESC LIMIT 100"
 )
 def facts_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.conflicts(facts(spark, sf_dir)).select("fact_id", "subject")
+    """Of facts dated to the year, so that those of a scope fall together."""
+    return ops.conflicts(facts(spark, sf_dir, F.date_trunc("year", F.col("ts").cast("timestamp_ntz")))).select("fact_id", "subject")
 
 
 @query(f"WITH {FACTS} SELECT status, count(*) AS n FROM facts GROUP BY 1")

@@ -229,7 +229,7 @@ def graph_payload_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT item_id AS query_id, 'part ' || (item_id + 1) AS asked FROM benchmark),
+    """WITH q AS (SELECT item_id AS query_id, concat(lower(p_name), CASE WHEN item_id % 2 = 0 THEN ' blue' ELSE '' END) AS asked FROM benchmark JOIN part ON p_partkey = item_id),
 e AS (SELECT DISTINCT lower(p_name) AS entity FROM part),
 qt AS (SELECT query_id, asked, list_distinct(string_split(asked, ' ')) AS qt FROM q),
 et AS (SELECT entity, list_distinct(list_filter(string_split_regex(entity, '\\s+'), lambda x: x <> '')) AS et FROM e),
@@ -238,9 +238,9 @@ s AS (SELECT query_id, entity, round(CASE WHEN asked = entity THEN 1 WHEN len(qt
 SELECT query_id, entity, max(score) AS score FROM s WHERE score >= 0.4 GROUP BY 1, 2"""
 )
 def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.concat(F.lit("part "), (F.col("item_id") + 1).cast("string")).alias("name")
-    )
+    more = F.when(F.col("item_id") % 2 == 0, " blue").otherwise("")
+    items = table(spark, sf_dir, "benchmark").join(table(spark, sf_dir, "part"), F.col("p_partkey") == F.col("item_id"))
+    asked = items.select(F.col("item_id").alias("query_id"), F.concat(F.lower("p_name"), more).alias("name"))
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("entity")).distinct()
     return graph.entity_matches(asked, names)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder used.
+    Only where that setting is absent and all runs in one process (tests, a laptop) is a temporary
+    folder used; on a cluster it must be named, as its machines share no temporary folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and re.fullmatch(r"local(\[.*\])?", context.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-checkpoint-"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -43,12 +44,12 @@ def ingest_stream(stream: DataFrame, store: str, checkpoint: str) -> StreamingQu
 
 def stored(spark: SparkSession, store: str, before: int | None = None) -> DataFrame | None:
     """All batches of a store, or those before a number; None where there is nothing yet."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(store)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path) or not system.listStatus(path):
-        return None
-    rows = spark.read.option("basePath", store).parquet(store)
+    try:
+        rows = spark.read.option("basePath", store).parquet(store)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
     return rows if before is None else rows.where(F.col("batch") < before)
 
 
@@ -70,16 +71,17 @@ def upsert_facts(stream: DataFrame, tie_seconds: float = 1.0) -> DataFrame:
     def step(key, batches, state):
         last = state.get if state.exists else None
         out = []
-        for batch in batches:
-            for row in batch.sort_values(["valid_at", "fact_id"]).itertuples(index=False):
-                at = row.valid_at.value // 1000
-                if last is not None:
-                    tied = at - last[1] <= tie_seconds * 1e6
-                    status = "conflicted" if tied or last[2] else "superseded"
-                    out.append((key[0], last[0], pd.Timestamp(last[1], unit="us"), row.valid_at, status))
-                    last = (int(row.fact_id), at, tied)
-                else:
-                    last = (int(row.fact_id), at, False)
+        # a scope's new facts may come in several pieces: they are ordered together
+        arrived = pd.concat(list(batches), ignore_index=True)
+        for row in arrived.sort_values(["valid_at", "fact_id"]).itertuples(index=False):
+            at = row.valid_at.as_unit("us").value
+            if last is not None:
+                tied = at - last[1] <= tie_seconds * 1e6
+                status = "conflicted" if tied or last[2] else "superseded"
+                out.append((key[0], last[0], pd.Timestamp(last[1], unit="us"), row.valid_at, status))
+                last = (int(row.fact_id), at, tied)
+            else:
+                last = (int(row.fact_id), at, False)
         if last is not None:
             state.update(last)
         columns = ["scope_key", "fact_id", "valid_at", "invalid_at", "status"]

@@ -212,7 +212,7 @@ def test_components_against_union_find(spark):
 def test_communities_split_two_cliques(spark):
     clique = [(a, b, 1.0) for g in ("abcd", "wxyz") for a in g for b in g if a < b]
     df = frame(spark, [*clique, ("a", "w", 0.1)], "src string, dst string, weight double")
-    got = dict(rows_of(graph.communities(df, 20)))
+    got = dict(rows_of(graph.communities(df)))
     assert len({got[x] for x in "abcd"}) == 1 and len({got[x] for x in "wxyz"}) == 1
     assert got["a"] != got["w"]
 
