@@ -67,53 +67,8 @@ SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0), 6) AS log_score,
 FROM docs LEFT JOIN sums USING (doc_id)
 """
 
-OP10 = f"""
-WITH u AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
-p AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
-  FROM u
-),
-r AS (
-  SELECT *, CASE
-      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
-      WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
-      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
-      WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
-      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule,
-    array_to_string(list_transform(string_split(path, '/'), lambda s: CASE
-      WHEN regexp_full_match(s, '[0-9]+') OR length(s) >= 32
-        OR (regexp_full_match(s, '[0-9A-Za-z_%.-]{{6,}}') AND regexp_matches(s, '[0-9]')) THEN '*' ELSE s END), '/') AS template
-  FROM p
-),
-v AS (
-  SELECT *, CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
-    regexp_extract(template, '^/?([^/]*)', 1) AS branch
-  FROM r
-),
-leaves AS (
-  SELECT host, branch, template, count(ruled) AS n, count(*) FILTER (WHERE ruled = 'block') AS bad FROM v GROUP BY ALL
-),
-total AS (SELECT sum(bad) / (sum(n) + 2.0::DOUBLE) AS p FROM leaves),
-across AS (SELECT branch, (sum(bad) + 2.0::DOUBLE * any_value(p)) / (sum(n) + 2.0::DOUBLE) AS p2 FROM leaves, total GROUP BY 1),
-hosts AS (SELECT host, sum(n) AS n1, (sum(bad) + 2.0::DOUBLE * any_value(p)) / (sum(n) + 2.0::DOUBLE) AS p1 FROM leaves, total GROUP BY 1),
-mine AS (SELECT host, branch, sum(bad) AS b0, sum(n) AS n0 FROM leaves GROUP BY ALL),
-smooth AS (
-  SELECT host, branch, n1, p1, (b0 + 2.0::DOUBLE * p2) / (n0 + 2.0::DOUBLE) AS p0
-  FROM mine JOIN across USING (branch) JOIN hosts USING (host)
-),
-priors AS (SELECT host, branch, CASE WHEN n1 > 0 AND abs(p0 - p1) <= 0.1::DOUBLE THEN p1 ELSE p0 END AS prior FROM smooth),
-judged AS (
-  SELECT host, template, (bad + 2.0::DOUBLE * prior) / (n + 2.0::DOUBLE) AS purity FROM leaves JOIN priors USING (host, branch)
-)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-       template, round(purity, 6) AS purity
-FROM v JOIN judged USING (host, template)
-"""
-
 SQL = {
     "op4_decontamination": OP4,
     "op5_lm_score": OP5,
     "op9_exact_dedup": OP9,
-    "op10_url_filter": OP10,
 }

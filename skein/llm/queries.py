@@ -69,6 +69,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[number(k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined("base_spans"), 256).alias("base_sha256"),
         joined("pii_spans").alias("spans"),
+        F.size("pii_spans").cast("long").alias("n_spans"),
     )
 
 

@@ -17,6 +17,8 @@ from skein.session import cut_lineage
 WINDOW, GRAM = 400, 32
 #: Bytes of one shard's contexts; a suffix array of about 50,000 symbols.
 SHARD_BYTES = 2_000_000
+#: Anchors that a task holds at once.
+UNITS = 100_000
 #: Contexts around one anchor beyond which its windows are compared by count, not in one shard.
 HOT_ANCHOR = 4096
 
@@ -70,31 +72,57 @@ def find_units(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
+            size = 0
             for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = text_bytes(text)
                 if len(data) < window:
                     continue
                 view = memoryview(data)
-                h, first, last, place = anchors(np.frombuffer(data, np.uint8), window, gram)
-                out[0].append(np.full(len(h), key, np.int64))
-                out[1].append(as_long(h))
-                units = [
-                    xxhash.xxh3_64_intdigest(view[a : b + window], seed=p - a)
-                    for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)
-                ]
-                out[2].append(as_long(np.array(units, np.uint64)))
-                out[3].append(first)
-                out[4].append(last)
-            columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
-            kinds = [pa.int64()] * 3 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)],
-                ["key", "anchor", "unit", "first", "last"],
-            )
+                found = anchors(np.frombuffer(data, np.uint8), window, gram)
+                # a text of equal bytes has an anchor a byte
+                for at in range(0, len(found[0]), UNITS):
+                    h, first, last, place = (v[at : at + UNITS] for v in found)
+                    units = [
+                        xxhash.xxh3_64_intdigest(view[a : b + window], seed=p - a)
+                        for a, b, p in zip(first.tolist(), last.tolist(), place.tolist(), strict=True)
+                    ]
+                    columns = (np.full(len(h), key, np.int64), as_long(h), as_long(np.array(units, np.uint64)), first, last)
+                    for column, part in zip(out, columns, strict=True):
+                        column.append(part)
+                    size += len(h)
+                    if size >= UNITS:
+                        yield packed_units(out)
+                        out, size = [[] for _ in range(5)], 0
+            yield packed_units(out)
 
     return keyed.mapInArrow(run, "key long, anchor long, unit long, first int, last int")
 
 
+def packed_units(out: list[list]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+    arrays = [pa.array(c.astype(np.int64), pa.int64()).cast(k) for c, k in zip(columns, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "anchor", "unit", "first", "last"])
+
+
+def joined_ranges(ranges: DataFrame, stretch: int = 4096) -> DataFrame:
+    """(key, spans) of (key, first, last): a text's ranges, sorted. Those that touch are joined,
+    stretch by stretch of their starts, before the rest of a text meets in one row: it has at most
+    as many ranges as it has gaps between them, and one a stretch."""
+    kind = "array<struct<first:int,last:int>>"
+
+    def join(done: Column, r: Column) -> Column:
+        end = F.element_at(done, -1)
+        longer = F.struct(end["first"].alias("first"), F.greatest(end["last"], r["last"]).alias("last"))
+        touches = (F.size(done) > 0) & (r["first"] <= F.try_element_at(done, F.lit(-1))["last"] + 1)
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(r)))
+
+    sorted_ranges = F.array_sort(F.collect_set(F.struct("first", "last")))
+    parts = ranges.groupBy("key", F.floor(F.col("first") / stretch).alias("stretch")).agg(sorted_ranges.alias("r"))
+    joined = parts.select("key", F.aggregate("r", F.array().cast(kind), join).alias("r"))
+    return joined.groupBy("key").agg(F.flatten(F.collect_list("r")).alias("spans"))
+
+
 def repeated_ranges(
     keyed: DataFrame, window: int, gram: int, shard_bytes: int, hot_anchor: int
 ) -> DataFrame:
@@ -246,9 +274,7 @@ def remove_repeats(
     """
     keyed = docs.select(row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
     ranges = repeated_ranges(keyed, window, gram, shard_bytes, hot_anchor)
-    spans = cut_lineage(
-        ranges.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    )
+    spans = cut_lineage(joined_ranges(ranges))
     rows = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key")
     ).join(spans, "key", "left")

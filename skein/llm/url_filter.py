@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.components import hot_keys, lookup
 from skein.session import cut_lineage
 
+#: Levels of the tree; what a path has beyond them is one wildcard, ``**``.
+LEVELS = 4
+#: A node with more different segments than this has variable ones: those under its mean count.
+MANY = 12
+#: Pseudo-pages of a parent's purity, and of the same branch's over all hosts.
+STRENGTH = 2.0
+#: Two branches are alike unless their purities differ by so many standard errors.
+Z = 1.96
+
 #: (host, path, verdict)
 RULES = (
     ("org", "/", "allow"),
@@ -19,7 +29,8 @@ LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
-    """Host (A-Z lower-cased) and path; both empty for null or without ``://``."""
+    """Host (A-Z lower-cased) and path; both empty for null, empty or without ``://``. Any other
+    text is taken as it is, whatever its length."""
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substr(url, at + 3))
     host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), *LOWER)
@@ -32,7 +43,8 @@ def fits(host: Column, path: Column, rule: tuple[str, str, str]) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
-    """Name and verdict of the longest fitting rule (ties: the alphabetically first), or null."""
+    """Name and verdict of the longest fitting rule (ties: the alphabetically first), or null where
+    none fits, as none does an empty host. ``rules`` may be empty."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for rule in sorted(rules, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]), reverse=True):
         hit = fits(host, path, rule)
@@ -41,16 +53,87 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def template_of(path: Column) -> Column:
-    """The path with its variable segments as wildcards: numbers, codes (six or more characters
-    with a digit among them) and segments of 32 or more characters."""
+def path_tree(
+    leaves: DataFrame, levels: int = LEVELS, many: int = MANY, strength: float = STRENGTH, z: float = Z
+) -> DataFrame:
+    """(key, template, purity) of each of ``leaves`` (key, host, path, n, bad), which are different
+    paths of hosts with their labelled pages ``n`` and the ``bad`` ones among them.
+
+    A host's tree grows from its root, level by level. At each node
+
+    1. variable segments become one wildcard ``*``: numbers, segments of 32 or more characters,
+       and where the node has over ``many`` different segments those with fewer paths than the
+       mean (of a node's segments the frequent ones name sections, the rare ones name pages);
+    2. branches are compared: a branch's evidence is its labelled pages and ``strength``
+       pseudo-pages of the same branch's purity over all hosts. Branches whose share of bad pages
+       does not differ from that of the node's other branches by ``z`` standard errors (a test of
+       two proportions) are alike, and several of them are merged into one node ``+``, whose
+       evidence and subtrees are theirs together;
+    3. a node's purity is its evidence, smoothed by ``strength`` pseudo-pages of its parent's. The
+       root's parent is the purity of the whole table, itself smoothed to one half of no page.
+
+    A node is a row a segment after partial sums, so hot hosts and nodes are spread by segment;
+    what a path's segment is called is looked up with hot keys broadcast. Without labels all
+    purities are 0. Empty paths are the root's. An empty table gives none.
+    """
+    s = F.lit(float(strength))
+    total = leaves.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    everywhere = F.lit(total.bad / (total.n + float(strength)))
+    hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("bad").alias("hb"))
+    hosts = hosts.select("host", ((F.col("hb") + s * everywhere) / (F.col("hn") + s)).alias("purity"))
+    segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
+    rows = leaves.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments))
+    rows = cut_lineage(lookup(rows.drop("path"), hosts, "host", hot_keys(rows, "host")).withColumn("template", F.lit("")))
+    for level in range(levels):
+        named = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        live = named.where("segment IS NOT NULL")
+        if live.isEmpty():
+            break
+        node = ["host", "template"]
+        found = cut_lineage(
+            live.groupBy(*node, "segment").agg(
+                F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("purity").alias("above")
+            )
+        )
+        sizes = found.groupBy(*node).agg(F.count(F.lit(1)).alias("kinds"), F.sum("paths").alias("all"))
+        rare = (F.col("kinds") > many) & (F.col("paths") * F.col("kinds") < F.col("all"))
+        variable = F.col("segment").rlike("^[0-9]+$") | (F.length("segment") >= 32) | rare
+        told = found.join(sizes, node).withColumn("name", F.when(variable, "*").otherwise(F.col("segment")))
+        told = cut_lineage(told.select(*node, "segment", "name", "n", "bad", "above"))
+        branches = told.groupBy(*node, "name").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("above").alias("above"))
+        across = branches.groupBy("template", "name").agg(F.sum("n").alias("xn"), F.sum("bad").alias("xb"))
+        across = across.select("template", "name", ((F.col("xb") + s * everywhere) / (F.col("xn") + s)).alias("x"))
+        seen = branches.join(across, ["template", "name"]).select(
+            *node, "name", "above", (F.col("bad") + s * F.col("x")).alias("e"), (F.col("n") + s).alias("m")
+        )
+        seen = cut_lineage(seen)
+        pooled = seen.groupBy(*node).agg(F.sum("e").alias("se"), F.sum("m").alias("sm"))
+        e, m, oe, om = F.col("e"), F.col("m"), F.col("se") - F.col("e"), F.col("sm") - F.col("m")
+        p = F.col("se") / F.col("sm")
+        error = F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (1 / m + 1 / om))
+        # rounded, so that the order of sums does not decide
+        alike = (om > 0.5) & (F.round(F.abs(e / m - oe / om), 9) <= F.round(F.lit(float(z)) * error, 9))
+        tested = seen.join(pooled, node).withColumn("alike", alike)
+        groups = tested.groupBy(*node).agg(F.count(F.when(F.col("alike"), 1)).alias("many"))
+        final = tested.join(groups, node).withColumn("to", F.when(F.col("alike") & (F.col("many") > 1), "+").otherwise(F.col("name")))
+        final = cut_lineage(final.select(*node, "name", "to", "e", "m", "above"))
+        merged = final.groupBy(*node, "to").agg(
+            ((F.sum("e") + s * F.first("above")) / (F.sum("m") + s)).alias("own")
+        )
+        known = told.join(final.select(*node, "name", "to"), [*node, "name"]).join(merged, [*node, "to"])
 
-    def generalised(segment: Column) -> Column:
-        code = segment.rlike("^[0-9A-Za-z_%.-]{6,}$") & segment.rlike("[0-9]")
-        variable = segment.rlike("^[0-9]+$") | code | (F.length(segment) >= 32)
-        return F.when(variable, "*").otherwise(segment)
+        def at(frame: DataFrame) -> DataFrame:
+            return frame.withColumn("at", F.concat_ws("\x01", "host", "template", "segment"))
 
-    return F.array_join(F.transform(F.split(path, "/", -1), generalised), "/")
+        known = at(known).select("at", "to", "own")
+        live = at(live)
+        moved = lookup(live, known, "at", hot_keys(live, "at")).select(
+            "key", "host", "n", "bad", "segments", F.col("own").alias("purity"), F.concat_ws("/", "template", "to").alias("template")
+        )
+        ended = named.where("segment IS NULL").select("key", "host", "n", "bad", "segments", "purity", "template")
+        rows = cut_lineage(moved.unionByName(ended))
+    more = F.when(F.size("segments") > levels, "/**").otherwise("")
+    return rows.select("key", F.concat("template", more).alias("template"), F.round("purity", 6).alias("purity"))
 
 
 def judge_urls(
@@ -58,88 +141,35 @@ def judge_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules=RULES,
-    strength: float = 2.0,
-    merge_gap: float = 0.1,
     block_above: float = 0.5,
+    **tree,
 ) -> DataFrame:
-    """id, host, path, rule, verdict and the purity behind it, one row per row of ``pages``.
+    """id, host, path, rule, verdict, template and the purity behind it, a row per row of ``pages``.
 
-    The tree: under a host stand the templates of its paths (variable segments as ``*``), grouped
-    by first segment. Pages that a rule judges are the labels. A template's purity is its share of
-    blocked pages, smoothed by ``strength`` pseudo-pages of its parent's purity; the parents are
-    the branch (host and first segment), the branch over all hosts, the whole table. Branches of
-    a host whose smoothed purities lie within ``merge_gap`` of the host's are merged into the
-    host's wildcard branch before their templates are smoothed by it. A template is rejected when
-    its purity exceeds ``block_above``. Without any label everything is allowed.
+    The longest fitting rule decides. Pages that a rule judges are the labels of the others: their
+    hosts' trees of path templates (see ``path_tree``, which takes the options in ``tree``) give
+    each path a purity, the smoothed share of blocked pages, and a page is blocked where that is
+    over ``block_above``. Without any label everything is allowed.
 
     Null and odd urls have an empty host and path, and are judged as such. Repeated rows are
-    judged each. Statistics are summed per task before they are dealt, so a hot host is no more
-    than one row per task and template there.
+    judged each: different paths are counted once, with the number of their pages. Other columns
+    are ignored. An empty table gives no rows.
     """
-    base = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("url"))
     host, path = split_url(F.col("url"))
+    base = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("url"))
     parsed = base.select("_id", host.alias("host"), path.alias("path"))
     name, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     parsed = parsed.select(
-        "_id",
-        "host",
-        "path",
-        name.alias("rule"),
-        verdict.alias("ruled"),
-        template_of(F.col("path")).alias("template"),
-    ).withColumn("branch", F.regexp_extract("template", "^/?([^/]*)", 1))
-    # One small row per host and template from here on.
+        "_id", "host", "path", name.alias("rule"), verdict.alias("ruled"), F.concat_ws("\x01", "host", "path").alias("key")
+    )
     leaves = cut_lineage(
-        parsed.groupBy("host", "branch", "template").agg(
+        parsed.groupBy("key", "host", "path").agg(
             F.count("ruled").alias("n"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")
         )
     )
-
-    def smoothed(bad, n, prior):
-        return (bad + F.lit(float(strength)) * prior) / (n + F.lit(float(strength)))
-
-    total = leaves.agg(
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    ).first()
-    everywhere = F.lit((total.bad + 0.0) / (total.n + strength))
-    across = leaves.groupBy("branch").agg(F.sum("bad").alias("b2"), F.sum("n").alias("n2"))
-    across = across.select("branch", smoothed(F.col("b2"), F.col("n2"), everywhere).alias("p2"))
-    hosts = leaves.groupBy("host").agg(F.sum("bad").alias("b1"), F.sum("n").alias("n1"))
-    hosts = hosts.select(
-        "host", "n1", smoothed(F.col("b1"), F.col("n1"), everywhere).alias("p1")
-    )
-    branches = (
-        leaves.groupBy("host", "branch")
-        .agg(F.sum("bad").alias("b0"), F.sum("n").alias("n0"))
-        .join(across, "branch")
-        .join(hosts, "host")
-        .select(
-            "host",
-            "branch",
-            "n1",
-            "p1",
-            smoothed(F.col("b0"), F.col("n0"), F.col("p2")).alias("p0"),
-        )
-        # similar branches of a labelled host share the host's wildcard branch
-        .select(
-            "host",
-            "branch",
-            F.when((F.col("n1") > 0) & (F.abs(F.col("p0") - F.col("p1")) <= merge_gap), F.col("p1"))
-            .otherwise(F.col("p0"))
-            .alias("prior"),
-        )
-    )
-    judged = leaves.join(branches, ["host", "branch"]).select(
-        "host", "template", smoothed(F.col("bad"), F.col("n"), F.col("prior")).alias("purity")
-    )
-    return parsed.join(judged, ["host", "template"]).select(
-        F.col("_id").alias(id_col),
-        "host",
-        "path",
-        "rule",
-        F.coalesce(
-            "ruled", F.when(F.col("purity") > block_above, F.lit("block")).otherwise(F.lit("allow"))
-        ).alias("verdict"),
-        "template",
-        F.round("purity", 6).alias("purity"),
+    judged = path_tree(leaves, **tree)
+    found = lookup(parsed, judged, "key", hot_keys(parsed, "key"))
+    own = F.when(F.col("purity") > block_above, F.lit("block")).otherwise(F.lit("allow"))
+    return found.select(
+        F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "template", "purity"
     )
