@@ -15,7 +15,7 @@ def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """The values of ``key`` that hold more than one in SHARE of the rows; fewer than SHARE rows."""
     counts = cut_lineage(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return cut_lineage(counts.where(F.col("n") * SHARE > total).select(key))
+    return counts.where(F.col("n") * SHARE > total).select(key)
 
 
 def lookup(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
