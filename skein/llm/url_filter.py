@@ -14,6 +14,8 @@ LEVELS = 4
 MANY = 12
 #: Pseudo-pages of a parent's purity, and of the same branch's over all hosts.
 STRENGTH = 2.0
+#: Rows of one partition of a level's tables.
+PART_ROWS = 5000
 #: Two branches are alike unless their purities differ by so many standard errors.
 Z = 1.96
 
@@ -73,65 +75,82 @@ def path_tree(
        root's parent is the purity of the whole table, itself smoothed to one half of no page.
 
     A node is a row a segment after partial sums, so hot hosts and nodes are spread by segment;
-    what a path's segment is called is looked up with hot keys broadcast. Without labels all
-    purities are 0. Empty paths are the root's. An empty table gives none.
+    what belongs to a host, a node or a branch is looked up with hot keys broadcast. Tables of a
+    level have no more rows than there are paths, and as many partitions as those need. Without
+    labels all purities are 0. Empty paths are the root's. An empty table gives none.
     """
     s = F.lit(float(strength))
-    total = leaves.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    total = leaves.agg(
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows")
+    ).first()
     everywhere = F.lit(total.bad / (total.n + float(strength)))
-    hosts = leaves.groupBy("host").agg(F.sum("n").alias("hn"), F.sum("bad").alias("hb"))
-    hosts = hosts.select("host", ((F.col("hb") + s * everywhere) / (F.col("hn") + s)).alias("purity"))
+    parts = max(1, -(-total.rows // PART_ROWS))
+
+    def kept(frame: DataFrame) -> DataFrame:
+        return cut_lineage(frame.coalesce(parts))
+
+    def smooth(bad: Column, n: Column, prior: Column) -> Column:
+        return (bad + s * prior) / (n + s)
+
     segments = F.split(F.regexp_replace("path", "^/", ""), "/", -1)
     rows = leaves.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(segments))
-    rows = cut_lineage(lookup(rows.drop("path"), hosts, "host", hot_keys(rows, "host")).withColumn("template", F.lit("")))
+    hosts = kept(leaves.groupBy("host").agg(smooth(F.sum("bad"), F.sum("n"), everywhere).alias("purity")))
+    rows = lookup(rows.drop("path").coalesce(parts), hosts, "host", hot_keys(leaves, "host"))
+    rows = kept(rows.withColumn("template", F.lit("")))
     for level in range(levels):
-        named = rows.withColumn("segment", F.get("segments", F.lit(level)))
-        live = named.where("segment IS NOT NULL")
+        live = rows.withColumn("segment", F.get("segments", F.lit(level)))
+        ended = live.where("segment IS NULL").select("key", "host", "n", "bad", "segments", "purity", "template")
+        live = live.where("segment IS NOT NULL")
         if live.isEmpty():
             break
-        node = ["host", "template"]
-        found = cut_lineage(
-            live.groupBy(*node, "segment").agg(
+        node = F.concat_ws("\x01", "host", "template").alias("node")
+        found = kept(
+            live.groupBy(node, "template", "segment").agg(
                 F.count(F.lit(1)).alias("paths"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("purity").alias("above")
             )
         )
-        sizes = found.groupBy(*node).agg(F.count(F.lit(1)).alias("kinds"), F.sum("paths").alias("all"))
+        hot = hot_keys(found, "node")
+        sizes = found.groupBy("node").agg(F.count(F.lit(1)).alias("kinds"), F.sum("paths").alias("all")).coalesce(parts)
         rare = (F.col("kinds") > many) & (F.col("paths") * F.col("kinds") < F.col("all"))
         variable = F.col("segment").rlike("^[0-9]+$") | (F.length("segment") >= 32) | rare
-        told = found.join(sizes, node).withColumn("name", F.when(variable, "*").otherwise(F.col("segment")))
-        told = cut_lineage(told.select(*node, "segment", "name", "n", "bad", "above"))
-        branches = told.groupBy(*node, "name").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("above").alias("above"))
-        across = branches.groupBy("template", "name").agg(F.sum("n").alias("xn"), F.sum("bad").alias("xb"))
-        across = across.select("template", "name", ((F.col("xb") + s * everywhere) / (F.col("xn") + s)).alias("x"))
-        seen = branches.join(across, ["template", "name"]).select(
-            *node, "name", "above", (F.col("bad") + s * F.col("x")).alias("e"), (F.col("n") + s).alias("m")
+        told = lookup(found, sizes, "node", hot).withColumn("name", F.when(variable, "*").otherwise(F.col("segment")))
+        told = kept(told.withColumn("branch", F.concat_ws("\x01", "node", "name")))
+        across = told.groupBy("template", "name").agg(smooth(F.sum("bad"), F.sum("n"), everywhere).alias("x"))
+        across = across.select(F.concat_ws("\x01", "template", "name").alias("kind"), "x").coalesce(parts)
+        seen = told.groupBy("branch", "node", "template", "name").agg(
+            F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("above").alias("above")
+        )
+        seen = kept(seen.withColumn("kind", F.concat_ws("\x01", "template", "name")))
+        seen = kept(
+            lookup(seen, across, "kind", hot_keys(seen, "kind")).select(
+                "branch", "node", "name", "above", (F.col("bad") + s * F.col("x")).alias("e"), (F.col("n") + s).alias("m")
+            )
         )
-        seen = cut_lineage(seen)
-        pooled = seen.groupBy(*node).agg(F.sum("e").alias("se"), F.sum("m").alias("sm"))
+        pooled = seen.groupBy("node").agg(F.sum("e").alias("se"), F.sum("m").alias("sm")).coalesce(parts)
         e, m, oe, om = F.col("e"), F.col("m"), F.col("se") - F.col("e"), F.col("sm") - F.col("m")
         p = F.col("se") / F.col("sm")
         error = F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (1 / m + 1 / om))
         # rounded, so that the order of sums does not decide
         alike = (om > 0.5) & (F.round(F.abs(e / m - oe / om), 9) <= F.round(F.lit(float(z)) * error, 9))
-        tested = seen.join(pooled, node).withColumn("alike", alike)
-        groups = tested.groupBy(*node).agg(F.count(F.when(F.col("alike"), 1)).alias("many"))
-        final = tested.join(groups, node).withColumn("to", F.when(F.col("alike") & (F.col("many") > 1), "+").otherwise(F.col("name")))
-        final = cut_lineage(final.select(*node, "name", "to", "e", "m", "above"))
-        merged = final.groupBy(*node, "to").agg(
-            ((F.sum("e") + s * F.first("above")) / (F.sum("m") + s)).alias("own")
+        tested = kept(lookup(seen, pooled, "node", hot).withColumn("alike", alike))
+        groups = tested.where("alike").groupBy("node").agg(
+            F.count(F.lit(1)).alias("several"), smooth(F.sum("e"), F.sum("m"), F.first("above")).alias("shared")
         )
-        known = told.join(final.select(*node, "name", "to"), [*node, "name"]).join(merged, [*node, "to"])
-
-        def at(frame: DataFrame) -> DataFrame:
-            return frame.withColumn("at", F.concat_ws("\x01", "host", "template", "segment"))
-
-        known = at(known).select("at", "to", "own")
-        live = at(live)
+        # a node without branches alike has a row too
+        groups = tested.select("node").distinct().join(groups, "node", "left").coalesce(parts)
+        merged = F.col("alike") & (F.coalesce("several", F.lit(0)) > 1)
+        final = lookup(tested, groups, "node", hot).select(
+            "branch",
+            F.when(merged, "+").otherwise(F.col("name")).alias("to"),
+            F.when(merged, F.col("shared")).otherwise(smooth(F.col("e"), F.col("m"), F.col("above"))).alias("own"),
+        )
+        known = lookup(told, kept(final), "branch", hot_keys(told, "branch"))
+        known = kept(known.select(F.concat_ws("\x01", "node", "segment").alias("at"), "to", "own"))
+        live = kept(live.withColumn("at", F.concat_ws("\x01", "host", "template", "segment")))
         moved = lookup(live, known, "at", hot_keys(live, "at")).select(
             "key", "host", "n", "bad", "segments", F.col("own").alias("purity"), F.concat_ws("/", "template", "to").alias("template")
         )
-        ended = named.where("segment IS NULL").select("key", "host", "n", "bad", "segments", "purity", "template")
-        rows = cut_lineage(moved.unionByName(ended))
+        rows = kept(moved.unionByName(ended))
     more = F.when(F.size("segments") > levels, "/**").otherwise("")
     return rows.select("key", F.concat("template", more).alias("template"), F.round("purity", 6).alias("purity"))
 
