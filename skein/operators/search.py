@@ -163,11 +163,16 @@ def bm25_block(rows: DataFrame, queries: DataFrame, k: int, k1: float, b: float,
 
 
 def split_words(text: str | None) -> list[str]:
-    return [w for w in SPACE.split((text or "").lower()) if w]
+    text = (text or "").lower()
+    if not OTHER_SPACE.search(text):
+        return text.split()
+    return [w for w in SPACE.split(text) if w]
 
 
 #: What the tokenizer splits at, as Java's white space.
 SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
+#: What Python's own splitting takes for white space besides.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 #: Scores that a task holds at once.
