@@ -21,7 +21,7 @@ UNKNOWN = "und"
 
 
 #: Weights that scoring gathers at once.
-CELLS = 1 << 22
+CELLS = 1 << 18
 #: Characters of one slice of a text; slices overlap, so that no n-gram is lost between them.
 SLICE = 1 << 20
 
