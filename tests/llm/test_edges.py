@@ -97,6 +97,14 @@ def test_exact_groups_do_not_depend_on_the_hash(spark, odd):
     assert rows_of(exact_dedup(odd, min_chunk=4, max_chunk=16)) == rows_of(exact_dedup(odd))
 
 
+def test_many_clashing_hashes_are_joined(spark, odd, monkeypatch):
+    from skein.llm import exact_dedup as module
+
+    want = rows_of(exact_dedup(odd))
+    monkeypatch.setattr(module, "MOST_CLASHES", 0)
+    assert rows_of(exact_dedup(odd, chunk_hash=lambda c: F.length(c).cast("long"))) == want
+
+
 def test_near_ties(spark, odd):
     got = {(r.doc_id, r.component_id) for r in near_duplicates(odd).collect()}
     assert {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)} <= got
