@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import jaccard, tokens
 from skein.operators.components import connected_components
+from skein.operators.running import in_ranges, running
 from skein.operators.search import similar_pairs
 from skein.session import cut_lineage
 
@@ -386,13 +387,19 @@ def graph_payload(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame,
 
 
 def prefix_budget(rows: DataFrame, budget: int, cost: Column) -> DataFrame:
-    """Rows of each query in rank order up to the first that would pass the budget."""
-    order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("spent", F.sum(cost).over(order)).where(F.col("spent") <= budget)
+    """Rows of each query in rank order up to the first that would pass the budget. Costs are not
+    negative; a query may have any share of the rows, its ranks are summed in ranges."""
+    ranged = in_ranges(rows, ["query_id"], ["rank"])
+    spent = running(ranged, ["query_id"], ["rank"], "spent", cost)
+    return spent.where(F.col("spent") <= budget).drop("_range")
 
 
 def fill_budget(rows: DataFrame, budget: int) -> DataFrame:
-    """(query_id, id) chosen in rank order; a row that does not fit is skipped, later ones may."""
+    """(query_id, id) chosen in rank order; a row that does not fit is skipped, later ones may.
+
+    Rows that cost more than the whole budget are never chosen and go before a query is gathered.
+    """
+    rows = rows.where(F.col("cost") <= budget)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "id", F.col("cost").cast("long").alias("cost"))))
     start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(f"array<{dict(rows.dtypes)['id']}>").alias("ids"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.session import cut_lineage
+
 
 def unseen(batch: DataFrame, seen: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows whose text's hash is not in ``seen`` (hash). Copies within the batch are all kept."""
@@ -116,11 +118,10 @@ def table_row_text(row_columns: list[str], title: str) -> Column:
 
 def project_tree(projects: DataFrame, root: str, depth: int = 64) -> DataFrame:
     """(project) of all descendants of ``root`` in (project, parent); a cycle ends the walk."""
-    found = projects.where(F.col("parent") == root).select("project").distinct()
-    frontier = found
+    found = frontier = cut_lineage(projects.where(F.col("parent") == root).select("project").distinct())
     for _ in range(depth):
         step = projects.join(frontier.withColumnRenamed("project", "parent"), "parent").select("project")
-        frontier = step.distinct().join(found, "project", "left_anti").where(F.col("project") != root)
+        frontier = cut_lineage(step.distinct().join(found, "project", "left_anti").where(F.col("project") != root))
         if frontier.isEmpty():
             break
         found = found.union(frontier)

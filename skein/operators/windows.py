@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import sentences
+from skein.operators.running import in_ranges, running
 
 
 def sentence_records(docs: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -38,12 +39,25 @@ def best_windows(hits: DataFrame, records: DataFrame, n: int = 3) -> DataFrame:
 
 
 def structure_blocks(chunks: DataFrame, n: int = 5, order_col: str = "chunk_index") -> DataFrame:
-    """Adds section and block: a section starts at a heading (is_heading); blocks are ``n`` chunks
-    of a section in a row."""
-    order = Window.partitionBy("source").orderBy(order_col)
-    sections = chunks.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(order))
-    within = Window.partitionBy("source", "section").orderBy(order_col)
-    return sections.withColumn("block", F.floor((F.row_number().over(within) - 1) / n))
+    """Adds section and block: a section starts at a heading (is_heading); blocks are ``n`` places
+    of a section in a row.
+
+    Places are numbered on source, order and heading alone, in ranges, so that a source may hold
+    any share of the rows; texts move once, dealt by source and place. Chunks of a source with
+    equal order share a place, which is a heading if one of them is; a null heading is none; null
+    sources are one source and null orders come first.
+    """
+    heads = F.coalesce(F.max(F.col("is_heading").cast("int")), F.lit(0))
+    places = chunks.groupBy(F.col("source").alias("_source"), F.col(order_col).alias("_order")).agg(heads.alias("_head"))
+    keys, order = ["_source"], ["_order"]
+    rows = in_ranges(places, keys, order)
+    rows = running(rows, keys, order, "_place", F.lit(1))
+    rows = running(rows, keys, order, "section", F.col("_head"))
+    rows = running(rows, keys, order, "_start", F.when(F.col("_head") == 1, F.col("_place")), "max")
+    block = F.floor((F.col("_place") - F.coalesce("_start", F.lit(1))) / n)
+    placed = rows.select("_source", "_order", "section", block.alias("block"))
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col(order_col).eqNullSafe(F.col("_order"))
+    return chunks.drop("section", "block").join(placed, same).drop("_source", "_order")
 
 
 def summarise_blocks(

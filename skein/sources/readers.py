@@ -185,6 +185,97 @@ def zipped_xml_text(part: str, unit: str) -> Callable[[bytes], str]:
     return read
 
 
+def sheet_column(reference: str) -> int:
+    """Column number from 0 of a cell such as ``AB7``."""
+    number = 0
+    for letter in reference.rstrip("0123456789"):
+        number = number * 26 + ord(letter) - 64
+    return number - 1
+
+
+def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str], list[str]]]:
+    """(sheet, row, header, cells) of every row below the first of each sheet of an .xlsx file.
+
+    Formulas give their stored values; empty cells are empty strings, unnamed columns are
+    ``Unnamed: i`` and a repeated name has ``.k`` added. A sheet without rows below its header
+    gives none, and dates are their serial numbers.
+    """
+    import posixpath
+    import zipfile
+
+    def parts(node: ET.Element, name: str) -> list[ET.Element]:
+        return [e for e in node.iter() if e.tag.endswith("}" + name)]
+
+    def words(node: ET.Element) -> str:
+        return "".join(t.text or "" for t in parts(node, "t"))
+
+    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+        names = set(archive.namelist())
+        shared = "xl/sharedStrings.xml"
+        strings = [words(e) for e in parts(ET.fromstring(archive.read(shared)), "si")] if shared in names else []
+        links = ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
+        targets = {e.attrib["Id"]: posixpath.join("/xl", e.attrib["Target"])[1:] for e in links}
+        for sheet in parts(ET.fromstring(archive.read("xl/workbook.xml")), "sheet"):
+            key = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
+            header: list[str] | None = None
+            for at, row in enumerate(parts(ET.fromstring(archive.read(targets[key])), "row")):
+                cells: list[str] = []
+                for place, cell in enumerate(parts(row, "c")):
+                    column = sheet_column(cell.attrib["r"]) if "r" in cell.attrib else place
+                    value = next((v.text or "" for v in parts(cell, "v")), "")
+                    kind = cell.attrib.get("t")
+                    if kind == "s" and value:
+                        value = strings[int(value)]
+                    elif kind == "inlineStr":
+                        value = words(cell)
+                    elif kind == "b":
+                        value = "True" if value == "1" else "False"
+                    cells += [""] * (column + 1 - len(cells))
+                    cells[column] = value
+                if header is None:
+                    seen: dict[str, int] = {}
+                    header = []
+                    for i, name in enumerate(c or f"Unnamed: {i}" for i, c in enumerate(cells)):
+                        header.append(f"{name}.{seen[name]}" if name in seen else name)
+                        seen[name] = seen.get(name, 0) + 1
+                    continue
+                header += [f"Unnamed: {i}" for i in range(len(header), len(cells))]
+                yield sheet.attrib["name"], at - 1, list(header), cells + [""] * (len(header) - len(cells))
+
+
+def row_line(title: str, header: list[str], cells: list[str]) -> str:
+    """A row of a table as text, as ``table_row_text`` gives it."""
+    named = " | ".join(f"{h}: {c}" for h, c in zip(header, cells, strict=True) if c.strip())
+    return f"Context: {title} | Columns: [{', '.join(header)}] | Data: {named}"
+
+
+def workbooks(spark: SparkSession, path: str) -> DataFrame:
+    """(id, text, source, sheet, row, error): one row per row of each sheet of the .xlsx files
+    under ``path``. A file that cannot be read is one row with its error; others go on."""
+    schema = "source string, sheet string, row long, text string, error string"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for source, data in zip(batch["path"], batch["content"], strict=True):
+                title, found = basename_of(source), []
+                try:
+                    for sheet, row, header, cells in workbook_rows(data):
+                        found.append((source, sheet, row, row_line(f"{title}[{sheet}]", header, cells), None))
+                except Exception as problem:  # one file's fault is not the others'
+                    found = [(source, None, None, None, f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(found, columns=["source", "sheet", "row", "text", "error"], dtype=object)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    fit = files.where(F.lower("path").endswith(".xlsx") & (F.col("length") <= MOST_BYTES))
+    rows = fit.select("path", "content").mapInPandas(read, schema)
+    key = F.concat_ws("#", "source", "sheet", F.col("row").cast("string"))
+    return rows.withColumn("id", F.concat(F.lit("excel_"), F.sha2(key, 256)))
+
+
+def workbook_text(data: bytes) -> str:
+    return "\n".join(row_line(sheet, header, cells) for sheet, _, header, cells in workbook_rows(data))
+
+
 def epub_text(data: bytes) -> str:
     import zipfile
 
@@ -203,6 +294,7 @@ PARSERS: dict[str, Callable[[bytes], str]] = {
     "rtf": rtf_text,
     "docx": zipped_xml_text(r"word/document\.xml", "}p"),
     "pptx": zipped_xml_text(r"ppt/slides/slide\d+\.xml", "}p"),
+    "xlsx": workbook_text,
     "epub": epub_text,
     "txt": lambda data: data.decode("utf-8", "replace"),
     "md": lambda data: data.decode("utf-8", "replace"),
