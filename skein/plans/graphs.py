@@ -80,58 +80,60 @@ def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.merge_relations(relations(spark, sf_dir)))
 
 
-#: Sparse edges: a customer and the nation of a supplier of a low-priced order.
-SPARSE = """
+#: Customers and suppliers, each linked to every order of theirs.
+TRADE = """
 edges AS (
-  SELECT DISTINCT concat('o', o_orderkey % 4999) AS src, concat('c', o_custkey) AS dst
-  FROM orders WHERE o_totalprice < 50000
+  SELECT concat('o', o_orderkey) AS src, concat('c', o_custkey) AS dst FROM orders
+  UNION SELECT concat('o', l_orderkey), concat('s', l_suppkey) FROM lineitem
 )"""
 
 
-def sparse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").where("o_totalprice < 50000")
-    return orders.select(
-        F.concat(F.lit("o"), (F.col("o_orderkey") % 4999).cast("string")).alias("src"),
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each order to its customer."""
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"),
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"),
-    ).distinct()
+    )
 
 
-BOTH = "undirected AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
+def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An edge from each order to its customer and to each of its suppliers."""
+    supplied = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"),
+        F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"),
+    )
+    return order_edges(spark, sf_dir).union(supplied)
 
 
-@query(
-    f"""WITH RECURSIVE {SPARSE}, {BOTH},
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer for each benchmark item."""
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"),
+        F.concat(F.lit("c"), (F.col("item_id") + 1).cast("string")).alias("node"),
+    )
+
+
+def walk_sql(edges: str, most: int) -> str:
+    return f"""WITH RECURSIVE {edges},
+undirected AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 walk(query_id, node, hop) AS (
   SELECT item_id, concat('c', item_id + 1), 0 FROM benchmark
   UNION
-  SELECT query_id, b, hop + 1 FROM walk JOIN undirected ON node = a WHERE hop < 3
+  SELECT query_id, b, hop + 1 FROM walk JOIN undirected ON node = a WHERE hop < {most}
 )
 SELECT query_id, node, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1, 2"""
-)
-def graph_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.concat(F.lit("c"), (F.col("item_id") + 1).cast("string")).alias("node"),
-    )
-    return graph.hops(sparse_edges(spark, sf_dir), seeds, 3)
 
 
-def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An edge from each order to its customer."""
-    return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("src"),
-        F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"),
-    )
+@query(walk_sql(TRADE, 2))
+def graph_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders and their suppliers."""
+    return graph.hops(trade_edges(spark, sf_dir), seeds(spark, sf_dir), 2)
 
 
-@query()
+@query(walk_sql("edges AS (SELECT concat('o', o_orderkey) AS src, concat('c', o_custkey) AS dst FROM orders)", 3))
 def graph_hops_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk of ``graph_hops`` over all orders, each a node of its own."""
-    seeds = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("query_id"),
-        F.concat(F.lit("c"), (F.col("item_id") + 1).cast("string")).alias("node"),
-    )
-    return graph.hops(order_edges(spark, sf_dir), seeds, 3)
+    """Orders and customers alone, three steps far."""
+    return graph.hops(order_edges(spark, sf_dir), seeds(spark, sf_dir), 3)
 
 
 #: Links of orders to the next of the same customer within a hundred keys: many small components.

@@ -256,7 +256,7 @@ WORDS = r"list_distinct(list_filter(string_split_regex(lower(coalesce(text, ''))
 a AS (SELECT query_id, len(ws) AS n, unnest(ws) AS w FROM q),
 s AS (SELECT query_id, id, round(count(*) / any_value(n), 6) AS score FROM a JOIN w USING (w) GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 )
 def report_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     reports = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -419,7 +419,7 @@ d AS (SELECT query_id, c AS node, 0.5 + 0.3 * 0.5 AS s FROM m UNION ALL
 s AS (SELECT query_id, o_orderkey AS id, round(max(s), 6) AS score FROM d JOIN orders ON o_custkey = node GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s ANTI JOIN
   (SELECT o_custkey AS query_id, o_orderkey AS id FROM orders WHERE o_orderkey % 5 = 0) USING (query_id, id))
-SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
+SELECT query_id, id, CAST(score AS DOUBLE) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"""
 )
 def graph_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that the graph of customers and nations adds to a base of every fifth of one's own."""
