@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import chunking, ingest, routing, windows
 from skein.plans.registry import registry, table
+from skein.plans.routes import ROUTE_SQL
 
 QUERIES, query = registry()
 
@@ -191,16 +192,8 @@ def raptor_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def alternatives(words: tuple[str, ...]) -> str:
-    return r"\b(" + "|".join(w.replace(".", r"\.") for w in words) + r")\b"
-
-
 @query(
-    f"""SELECT conv_id, turn, CASE
-  WHEN regexp_matches(lower(text), '{alternatives(routing.CORPUS)}') OR (len(text) > 120 AND regexp_matches(lower(text), '{alternatives(routing.SYNTHESIS)}')) THEN 'corpus_exploration'
-  WHEN regexp_matches(lower(text), '{alternatives(routing.ENTITY)}') THEN 'entity_relation'
-  WHEN regexp_matches(lower(text), '{alternatives(routing.TABLE)}') THEN 'table_lookup'
-  WHEN regexp_matches(lower(text), '{alternatives(routing.SYNTHESIS)}') OR len(text) > 80 THEN 'synthesis' ELSE 'factual' END AS route,
+    f"""SELECT conv_id, turn, {ROUTE_SQL} AS route,
   regexp_matches(lower(text), '{"|".join(routing.HOLISTIC)}') OR len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) > 20 AS graph
 FROM conversations"""
 )

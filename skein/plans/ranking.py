@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skein.functions.text import jaccard, tokens
 from skein.operators import fusion, rerank, search
 from skein.plans.registry import registry, table
+from skein.plans.retrieval import ROUTES, Config, search_routed
+from skein.plans.routes import ROUTE_SQL
 
 QUERIES, query = registry()
 
@@ -295,3 +297,40 @@ def query_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.join(docs, "id").join(q, "query_id").select(
         "query_id", "id", F.round(jaccard(F.col("w"), F.col("qw")), 6).alias("jaccard")
     )
+
+
+#: Words that set the route of a question, by its number.
+PHRASES = ("compare them all", "what is related to it", "the row of a table", "summarize it", "")
+QUESTIONS = (
+    "questions AS (SELECT item_id, concat(CASE item_id % 5 "
+    + " ".join(f"WHEN {n} THEN '{phrase}'" for n, phrase in enumerate(PHRASES))
+    + " END, ' ', CASE WHEN item_id % 5 = 4 THEN substr(text, 1, 60) ELSE text END) AS text FROM benchmark)"
+)
+ROUTED = f"""
+WITH {QUESTIONS},
+{LEXICAL.replace("FROM benchmark", "FROM questions")}, {DENSE},
+routes(route, k, least, slots) AS (VALUES {", ".join(
+    f"('{name}', {o.top_k}, {o.similarity_threshold}, {o.graph_budget})"
+    for name, o in ((n, Config().with_overrides(**c)) for n, c in ROUTES.items())
+)}),
+routed AS (SELECT item_id * 50 AS query_id, {ROUTE_SQL} AS route FROM questions),
+o AS (SELECT * FROM routed JOIN routes USING (route)),
+v AS (SELECT query_id, id, score, rank FROM dense JOIN o USING (query_id) WHERE rank <= 3 * k),
+b AS (SELECT query_id, id, score, rank FROM bm25 JOIN o USING (query_id) WHERE rank <= 3 * k AND query_id IN (SELECT query_id FROM v)),
+f AS (SELECT query_id, id, round(coalesce(1 / (60 + v.rank), 0) + coalesce(1 / (60 + b.rank), 0), 6) AS score, v.score AS vector
+  FROM v FULL OUTER JOIN b USING (query_id, id)),
+r AS (SELECT f.*, route, k, row_number() OVER (PARTITION BY query_id ORDER BY f.score DESC, id) AS rank
+  FROM f JOIN o USING (query_id) WHERE vector IS NULL OR vector >= least)
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank, route FROM r WHERE rank <= k"""
+
+
+@query(ROUTED)
+def routed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with the options of each question's route."""
+    n, text = F.col("item_id") % 5, F.col("text")
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (n + 1).cast("int"))
+    words = F.concat(phrase, F.lit(" "), F.when(n == 4, F.substring(text, 1, 60)).otherwise(text))
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 50).alias("query_id"), words.alias("text"))
+    questions = items.join(vector_queries(spark, sf_dir), "query_id")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search_routed(questions, vectors(spark, sf_dir).select("id", "embedding"), documents)
