@@ -67,8 +67,37 @@ SELECT doc_id, len(w) AS n_words, round(coalesce(s, 0), 6) AS log_score,
 FROM docs LEFT JOIN sums USING (doc_id)
 """
 
+#: The cut places and the form come from the hash of the id, the parts from a list of the units.
+OP11 = """
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256(concat('1:', doc_id)) AS h FROM documents
+), d AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u, len(u) AS n,
+    [CAST(concat('0x', h[8 * i + 1 : 8 * i + 8]) AS BIGINT) FOR i IN range(4)] AS r
+  FROM t
+), c AS (
+  SELECT doc_id, text, n, CASE
+      WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+      WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+    u, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b
+  FROM d
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1 : a], '') AS prefix,
+    array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : n], '') AS suffix
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
 SQL = {
     "op4_decontamination": OP4,
     "op5_lm_score": OP5,
     "op9_exact_dedup": OP9,
+    "op11_fill_middle": OP11,
 }

@@ -12,6 +12,7 @@ from skein.llm import oracles
 from skein.llm.common import short_batches, table
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
+from skein.llm.fill_middle import fill_middle, restore
 from skein.llm.html_text import extract_text
 from skein.llm.language import fit_language_model, identify_language, training_rows
 from skein.llm.lm_score import score_lm
@@ -101,6 +102,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        F.char_length("prefix").cast("long").alias("prefix_chars"),
+        F.char_length("middle").cast("long").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing,
@@ -113,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_suffix_dedup,
         op9_exact_dedup,
         op10_url_filter,
+        op11_fill_middle,
     ]
     return {f.__name__: f for f in found}
 
