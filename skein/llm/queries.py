@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import oracles
+from skein.llm.byte_bpe import decode_bytes, encode_bytes
 from skein.llm.common import short_batches, table
 from skein.llm.decontaminate import decontaminate
 from skein.llm.exact_dedup import exact_dedup
@@ -22,7 +23,7 @@ from skein.llm.pii import KINDS, find_pii, fit_pii_model
 from skein.llm.suffix_dedup import remove_repeats
 from skein.llm.url_filter import judge_urls
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +116,17 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    with_ranks = (public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return decode_bytes(encode_bytes(table(spark, sf_dir, "documents"), *with_ranks), *with_ranks).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing,
@@ -128,6 +140,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_exact_dedup,
         op10_url_filter,
         op11_fill_middle,
+        op12_byte_bpe,
     ]
     return {f.__name__: f for f in found}
 
