@@ -21,9 +21,11 @@ from skein.llm.near_dedup import near_duplicates
 from skein.llm.packing import pack
 from skein.llm.pii import KINDS, find_pii, fit_pii_model
 from skein.llm.suffix_dedup import remove_repeats
+from skein.llm.token_align import SUMS, align_tokenizers
 from skein.llm.url_filter import judge_urls
 
 TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +129,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
+    found = align_tokenizers(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ALIGNED))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    return found.select("doc_id", *SUMS, digest.alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_packing,
@@ -141,6 +150,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_url_filter,
         op11_fill_middle,
         op12_byte_bpe,
+        op13_token_align,
     ]
     return {f.__name__: f for f in found}
 
