@@ -22,6 +22,8 @@ from skein.session import ensure_checkpoint_dir
 
 #: A block of documents ends at so many characters or different segments, and at a document's end.
 BLOCK_CHARS, BLOCK_SEGMENTS = 24_000_000, 1_000_000
+#: Pairs of ids whose counts are sent to all tasks; where there are more, they are joined.
+MOST_PAIRS = 3_000_000
 #: Segments that are tokenised, or handed on, at once.
 STEP = 20_000
 # fixed values: the characters with the Unicode property White_Space
@@ -210,43 +212,160 @@ def cut_documents(docs: DataFrame, bytes_path: str, pieces_path: str) -> DataFra
     return docs.mapInArrow(run, schema)
 
 
-def align_segments(segments: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
-    """Adds n_a, n_b, n_groups, groups and links to segments (segment, n)."""
-    schema = T.StructType([*segments.schema.fields])
-    for name, kind in (("n_a", "integer"), ("n_b", "integer"), ("n_groups", "integer"), ("groups", "string"), ("links", T.ArrayType(T.LongType()))):
-        schema.add(name, kind)
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], np.ndarray, pa.Table]]:
+    """Rows (segment, ...) sorted by segment in tables of about STEP rows or more: the different
+    segments, where the rows of each begin, and the table. A segment's rows are in one table, but
+    for one with more than STEP rows."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def cut(whole: pa.Table, last: bool) -> tuple[list[str], np.ndarray, pa.Table]:
+        names = whole["segment"].to_pylist()
+        starts = [i for i, x in enumerate(names) if not i or x != names[i - 1]]
+        if not last and len(starts) > 1:
+            whole, starts = whole.slice(0, starts[-1]), starts[:-1]
+        return [names[i] for i in starts], np.array(starts, np.int64), whole
+
+    for batch in batches:
+        held.append(pa.Table.from_batches([batch]))
+        size += batch.num_rows
+        if size >= STEP:
+            whole = pa.concat_tables(held)
+            found = cut(whole, False)
+            yield found
+            held = [whole.slice(found[2].num_rows)]
+            size = held[0].num_rows
+    if size:
+        yield cut(pa.concat_tables(held), True)
+
+
+ALIGNED = (
+    "n long, n_a integer, n_b integer, n_groups integer, groups string, links array<long>, "
+    "blocks array<long>, places array<integer>"
+)
+
+
+def align_segments(rows: DataFrame, bytes_path: str, pieces_path: str) -> DataFrame:
+    """Alignments of the segments of rows (segment, block, place, n) sorted by segment: a row for each
+    different one, with the sum of n and the blocks and places that have it; a segment of over STEP
+    rows may have several. Columns as in ALIGNED."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = tokenizer_pair(bytes_path, pieces_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, STEP):
-                batch = whole.slice(at, STEP)
-                found = [(len(a), len(b), *pair.align(a, b)) for a, b in pair.encode(batch.column("segment").to_pylist())]
-                n_a, n_b, groups, n_groups, links = zip(*found, strict=True)
-                sizes = np.cumsum([0, *map(len, links)])
-                flat = np.fromiter((x for own in links for x in own), np.int64, sizes[-1])
-                columns = [*batch.columns, pa.array(n_a, pa.int32()), pa.array(n_b, pa.int32()), pa.array(n_groups, pa.int32())]
-                columns += [pa.array(groups), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-    return segments.mapInArrow(run, schema)
-
-
-def link_scores(aligned: DataFrame) -> DataFrame:
-    """(number, n_best, count_sum) of aligned segments (number, n, links): over a segment's links, how
-    many are their B id's most frequent in the corpus, and the sum of their pairs' counts.
-
-    Pairs that a large share of the segments hold are looked up by broadcast, fewer than SHARE.
-    """
-    links = aligned.select("number", "n", F.explode("links").alias("pair"))
+        for names, starts, table in runs(batches):
+            found = [(len(a), len(b), *pair.align(a, b)) for a, b in pair.encode(names)]
+            n_a, n_b, groups, n_groups, links = zip(*found, strict=True)
+            ends = np.append(starts, table.num_rows).astype(np.int32)
+            sizes = np.cumsum([0, *map(len, links)])
+            flat = np.fromiter((x for own in links for x in own), np.int64, sizes[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(ends), table[c].combine_chunks()) for c in ("block", "place")]
+            columns = {
+                "n": np.add.reduceat(table["n"].to_numpy(), starts),
+                "n_a": pa.array(n_a, pa.int32()),
+                "n_b": pa.array(n_b, pa.int32()),
+                "n_groups": pa.array(n_groups, pa.int32()),
+                "groups": pa.array(groups, pa.string()),
+                "links": pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)),
+                "blocks": lists[0],
+                "places": lists[1],
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return rows.mapInArrow(run, ALIGNED)
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """(pair, count, rows, best) of each pair of ids that a link holds: how many links of the corpus
+    hold it, how many of those of aligned segments, and whether no pair of its B id has more."""
+    links = aligned.select("n", F.explode("links").alias("pair"))
     counts = links.groupBy("pair").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("rows"))
     # at most as many rows of one B id as A has ids
     most = F.max("count").over(Window.partitionBy(F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))))
-    counts = stored(counts.withColumn("best", F.col("count") == most), "pairs")
+    return counts.withColumn("best", F.col("count") == most)
+
+
+def joined_scores(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+    """``aligned`` with n_best and count_sum, by a join of its links with the pairs' counts. Pairs that
+    a large share of all links hold are looked up by broadcast, fewer than SHARE."""
+    rows = stored(aligned.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    links = rows.select("number", F.explode("links").alias("pair"))
     total = counts.agg(F.sum("rows")).first()[0] or 0
     hot = counts.where(F.col("rows") * SHARE > total).select("pair")
-    told = lookup(links.select("number", "pair"), counts.select("pair", "count", "best"), "pair", hot)
-    return told.groupBy("number").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    told = lookup(links, counts.select("pair", "count", "best"), "pair", hot)
+    scores = told.groupBy("number").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    return rows.drop("links").join(scores, "number").drop("number")
+
+
+def placed_scores(aligned: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """(block, packed): for each block what its places need to know, see ``pack_places``.
+
+    Up to ``most`` pairs, 17 bytes each, are sent to the tasks; more are joined.
+    """
+    spark = aligned.sparkSession
+    size = counts.count()
+    if size > most:
+        rows, shared = joined_scores(aligned, counts), None
+    else:
+        table = counts.select("pair", "count", "best").toArrow()
+        order = np.argsort(table["pair"].to_numpy())
+        shared = spark.sparkContext.broadcast(tuple(table[c].to_numpy()[order] for c in ("pair", "count", "best")))
+        rows = aligned
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if shared is None:
+                best, sums = (batch.column(c).to_numpy() for c in ("n_best", "count_sum"))
+            else:
+                pairs, n, is_best = shared.value
+                links = batch.column("links")
+                at = np.searchsorted(pairs, links.flatten().to_numpy())
+                starts = links.offsets.to_numpy()[:-1] - links.offsets[0].as_py()
+                best, sums = np.add.reduceat(is_best[at].astype(np.int64), starts), np.add.reduceat(n[at], starts)
+            yield from pack_places(batch, best, sums)
+
+    return rows.mapInArrow(run, "block long, packed binary")
+
+
+#: What a place holds, besides its groups.
+PLACE = np.dtype([("place", "<u4"), ("n_a", "<u4"), ("n_b", "<u4"), ("n_groups", "<u4"), ("n_best", "<u4"), ("count_sum", "<u8")])
+
+
+def pack_places(batch: pa.RecordBatch, best: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each block that has some of the segments: the fields of PLACE one after another, then
+    the groups in lines, compressed together, as most of their bytes repeat."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    blocks = batch.column("blocks").flatten().to_numpy()
+    row = np.repeat(np.arange(batch.num_rows), batch.column("blocks").value_lengths().to_numpy())
+    order = np.argsort(blocks, kind="stable")
+    blocks, row = blocks[order], row[order]
+    fields = {c: batch.column(c).to_numpy()[row] for c in ("n_a", "n_b", "n_groups")}
+    fields |= {"place": batch.column("places").flatten().to_numpy()[order], "n_best": best[row], "count_sum": sums[row]}
+    groups = batch.column("groups").to_pylist()
+    starts = np.flatnonzero(np.diff(blocks, prepend=-1))
+    packed = []
+    for at, end in zip(starts, np.append(starts[1:], len(blocks)), strict=True):
+        own = [fields[c][at:end].astype(PLACE[c]).tobytes() for c in PLACE.names]
+        lines = "\n".join([groups[i] for i in row[at:end].tolist()]).encode()
+        packed.append(int(end - at).to_bytes(8, "little") + press(b"".join([*own, lines])))
+    yield pa.RecordBatch.from_arrays([pa.array(blocks[starts]), pa.array(packed, pa.binary())], names=["block", "packed"])
+
+
+def unpack_places(packed: list[bytes]) -> tuple[dict[str, np.ndarray], list[str]]:
+    """The fields and groups of a block's places in their order."""
+    unpress = zstandard.ZstdDecompressor().decompress
+    fields: dict[str, list] = {c: [] for c in PLACE.names}
+    groups: list[str] = []
+    for x in packed:
+        size, raw, at = int.from_bytes(x[:8], "little"), unpress(x[8:]), 0
+        for c in PLACE.names:
+            fields[c].append(np.frombuffer(raw, PLACE[c], size, at))
+            at += size * PLACE[c].itemsize
+        groups.extend(raw[at:].decode().split("\n"))
+    whole = {c: np.concatenate(x).astype(np.int64) for c, x in fields.items()}
+    order = np.argsort(whole.pop("place"))
+    return {c: x[order] for c, x in whole.items()}, [groups[i] for i in order.tolist()]
 
 
 def stored(frame: DataFrame, name: str) -> DataFrame:
@@ -261,7 +380,7 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
-def align_tokenizers(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align_tokenizers(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of each row of ``docs``.
 
     A encodes a space and the text, B the text, to which it adds the space. Places where tokens of
@@ -272,9 +391,10 @@ def align_tokenizers(docs: DataFrame, bytes_path: str, pieces_path: str, id_col:
     Texts are split before white space, where neither vocabulary can join tokens (checked when
     the vocabularies are read). Documents are taken in blocks where they lie: a block names its
     different segments once and its documents become lists of their numbers. The corpus's distinct
-    segments are tokenised and aligned once, the counts of pairs are added up over them, and a
-    segment's alignment is joined back to each block that has it; blocks put their documents
-    together. Blocks are bounded, so no segment is in more rows than there are blocks.
+    segments are dealt by segment, tokenised and aligned once, the counts of pairs are added up over
+    them, and a segment's alignment goes back to each block that has it; blocks put their documents
+    together. Blocks are bounded, so no segment is in more rows than there are blocks. Up to
+    ``most_pairs`` counts are broadcast, more are joined.
 
     Null and empty texts, and those that B does not give back, have zeros and '' and count for
     nothing. Repeated rows count each; ids may be null. Other columns are ignored. An empty table
@@ -283,25 +403,27 @@ def align_tokenizers(docs: DataFrame, bytes_path: str, pieces_path: str, id_col:
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     blocks = stored(cut_documents(rows, bytes_path, pieces_path), "blocks")
-    places = blocks.where("place IS NOT NULL").select("block", "place", "segment", "n")
-    distinct = places.groupBy("segment").agg(F.sum("n").alias("n"))
-    aligned = align_segments(distinct, bytes_path, pieces_path).withColumn("number", F.monotonically_increasing_id())
-    aligned = stored(aligned, "segments")
-    told = aligned.withColumn("n_links", F.size("links")).drop("links", "n").join(link_scores(aligned), "number").drop("number")
-    placed = places.select("block", "place", "segment").join(told, "segment").select("block", "place", *SUMS, "groups")
+    places = blocks.where("place IS NOT NULL").select("segment", "block", "place", "n")
+    dealt = places.repartition("segment").sortWithinPartitions("segment")
+    aligned = stored(align_segments(dealt, bytes_path, pieces_path), "segments")
+    counts = stored(pair_counts(aligned), "pairs")
+    placed = placed_scores(aligned, counts, most_pairs)
     texts = blocks.where("place IS NULL").select(F.col("block").alias("home"), "id", "places")
     schema = rows.select("id").schema
     for name in SUMS:
         schema.add(name, "long")
     schema.add("groups", "string")
 
-    def compose(documents: pa.Table, segments: pa.Table) -> pa.Table:
-        unpack = zstandard.ZstdDecompressor().decompress
-        order = np.argsort(segments["place"].to_numpy())
-        sums = [segments[name].to_numpy()[order].astype(np.int64) for name in SUMS]
-        groups = segments["groups"].take(pa.array(order)).to_pylist()
-        found = [np.frombuffer(unpack(x) if x else b"", np.uint32) for x in documents["places"].to_pylist()]
-        columns = [documents["id"], *(pa.array([int(own[x].sum()) for x in found], pa.int64()) for own in sums)]
+    def compose(documents: pa.Table, packed: pa.Table) -> pa.Table:
+        unpress = zstandard.ZstdDecompressor().decompress
+        known = {c: np.zeros(0, np.int64) for c in SUMS}
+        groups: list[str] = []
+        if packed.num_rows:
+            known, groups = unpack_places(packed["packed"].to_pylist())
+            # within a group each token but the first two adds a link
+            known["n_links"] = known["n_a"] + known["n_b"] - known["n_groups"]
+        found = [np.frombuffer(unpress(x) if x else b"", np.uint32) for x in documents["places"].to_pylist()]
+        columns = [documents["id"], *(pa.array([int(known[c][x].sum()) for x in found], pa.int64()) for c in SUMS)]
         columns.append(pa.array([";".join(map(groups.__getitem__, x.tolist())) for x in found], pa.string()))
         return pa.table(columns, names=schema.names)
 

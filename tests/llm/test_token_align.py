@@ -98,9 +98,9 @@ def test_cuts_are_only_where_no_piece_crosses():
     assert segment_pattern(" ").findall(" a\nb  c \n d ") == [" a\nb", "  c", " \n d", " "]
 
 
-def run(spark, rows):
+def run(spark, rows, **options):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = align_tokenizers(frame.repartition(3), *PATHS).collect()
+    found = align_tokenizers(frame.repartition(3), *PATHS, **options).collect()
     return sorted((tuple(r[c] for c in ("doc_id", *SUMS, "groups")) for r in found), key=repr)
 
 
@@ -112,6 +112,14 @@ def test_operator_equals_brute_force(spark, pair, monkeypatch, chars):
     assert run(spark, rows) == sorted(brute(pair, rows), key=repr)
 
 
+def test_more_pairs_than_are_broadcast_are_joined(spark, pair, monkeypatch):
+    monkeypatch.setattr(token_align, "BLOCK_CHARS", 2000)
+    monkeypatch.setattr(token_align, "STEP", 7)
+    rows = list(enumerate(odd_texts()[:400]))
+    want = sorted(brute(pair, rows), key=repr)
+    assert run(spark, rows, most_pairs=10) == want == run(spark, rows)
+
+
 def test_query_equals_brute_force(spark, pair):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     want = {r[0]: r for r in brute(pair, docs)}
