@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # fixed values: abbreviations that do not end a sentence
 ABBREVIATIONS = (
@@ -178,3 +181,71 @@ def similarity_breaks(sentences: DataFrame, threshold: float = 0.5, most: int |
     told = folded.select("doc", F.explode(F.arrays_zip(F.transform("items", lambda x: x["idx"]).alias("idx"), "groups")).alias("z"))
     told = told.select("doc", F.col("z.idx").alias("idx"), F.col("z.groups").alias("group"))
     return sentences.join(told, ["doc", "idx"])
+
+
+#: Sentences that a model embeds at once.
+MODEL_BATCH = 512
+
+
+def semantic_breaks(before: np.ndarray, vectors: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each sentence is unlike the one before it (``before`` for the first)."""
+    rows = np.vstack([before, vectors])
+    norms = np.sqrt((rows * rows).sum(axis=1))
+    return (rows[:-1] * rows[1:]).sum(axis=1) / (norms[:-1] * norms[1:] + 1e-9) < threshold
+
+
+def cosine_chunks(
+    docs: DataFrame,
+    model: Callable[[list[str]], np.ndarray],
+    threshold: float = 0.5,
+    most: int = 1000,
+    id_col: str = "id",
+    text_col: str = "text",
+    length: Callable[[str], int] = estimate,
+) -> DataFrame:
+    """(source_id, chunk_index, id, chunk, total_chunks): sentences in a row that stay on a subject.
+
+    ``model`` embeds a list of sentences, one row each. A chunk ends where the cosine of two
+    sentences that follow one another falls under ``threshold``, or where it would get longer
+    than ``most`` by ``length``. One pass where the texts lie: the sentences of a batch of texts are
+    embedded MODEL_BATCH at a time, across texts; breaks are folded text by text with what the
+    open chunk holds carried on, so no document's sentences are gathered by Spark.
+
+    A text of one sentence is one chunk, as it is; null and blank texts give none. Repeated rows
+    repeat their chunks. The model is called in the workers and must be deterministic for a lost
+    task to give the same chunks.
+    """
+    rows = docs.select(F.col(id_col).alias("source_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    schema = T.StructType([rows.schema["source_id"], T.StructField("parts", T.ArrayType(T.StringType()))])
+
+    def fold(sentences: list[str], vectors: np.ndarray) -> list[str]:
+        starts = [True, *semantic_breaks(vectors[0], vectors[1:], threshold).tolist()]
+        chunks: list[list[str]] = []
+        held = 0
+        for sentence, new in zip(sentences, starts, strict=True):
+            n = length(sentence)
+            if new or held + n > most:
+                chunks.append([])
+                held = 0
+            chunks[-1].append(sentence)
+            held += n
+        return [" ".join(c) for c in chunks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            cut = [split_sentences(t) for t in texts]
+            several = [s for s in cut if len(s) > 1]
+            flat = [x for s in several for x in s]
+            vectors = [np.asarray(model(flat[i : i + MODEL_BATCH]), np.float64) for i in range(0, len(flat), MODEL_BATCH)]
+            told = np.concatenate(vectors) if vectors else np.zeros((0, 1))
+            at, parts = 0, []
+            for text, sentences in zip(texts, cut, strict=True):
+                if len(sentences) > 1:
+                    parts.append(fold(sentences, told[at : at + len(sentences)]))
+                    at += len(sentences)
+                else:
+                    parts.append([text] if text.strip() else [])
+            yield pa.RecordBatch.from_arrays([batch.column("source_id"), pa.array(parts, pa.list_(pa.string()))], names=schema.names)
+
+    return fan_out(rows.mapInArrow(run, schema), F.col("parts"))

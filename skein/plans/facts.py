@@ -36,9 +36,10 @@ facts AS (
 )"""
 
 
-def facts(spark: SparkSession, sf_dir: str, at: Column | str = "ts") -> DataFrame:
+def raw_facts(spark: SparkSession, sf_dir: str, at: Column | str = "ts") -> DataFrame:
+    """A fact for each event, before any closes another."""
     scope = F.concat_ws("|", F.col("user_id").cast("string"), "event_type")
-    rows = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("fact_id"),
         F.col("user_id").cast("string").alias("subject"),
         F.col("event_type").alias("relation"),
@@ -47,7 +48,10 @@ def facts(spark: SparkSession, sf_dir: str, at: Column | str = "ts") -> DataFram
         (F.col(at) if isinstance(at, str) else at).alias("valid_at"),
         ((F.col("event_id") % 10 + 1) / 10).alias("confidence"),
     )
-    return ops.succession(rows)
+
+
+def facts(spark: SparkSession, sf_dir: str, at: Column | str = "ts") -> DataFrame:
+    return ops.succession(raw_facts(spark, sf_dir, at))
 
 
 @query(f"WITH {FACTS} SELECT fact_id, status, coalesce(CAST(epoch_us(invalid_at) AS BIGINT), -1) AS invalid_us FROM facts")
