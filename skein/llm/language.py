@@ -195,16 +195,44 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.where(F.crc32(F.col(id_col).cast("string")) % 3 != 1)
 
 
-def keep_known_language(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
+def calibration_rows(docs: DataFrame, id_col: str = "doc_id", most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+    """About ``most`` labelled documents, by hash of their id, that no model learns from."""
+    rest = docs.where((F.crc32(F.col(id_col).cast("string")) % 3 == 1) & F.col("lang").isNotNull())
+    share = min(1.0, most / max(1, rest.count()))
+    return rest.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+
+#: Of the labelled rows that a model gets right, the share that its least score may refuse.
+REFUSED = 0.001
+#: The highest least score: a language with more than half of the posterior is known.
+SURE = 0.5
+
+
+def least_score(labelled: DataFrame, model: LanguageModel, refused: float = REFUSED, text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score that all but ``refused`` of the labelled rows reach whose language the model gets
+    right, at most SURE; 0 where it gets none right. All rows given are scored, one quantile of
+    their scores is taken (``approx_percentile``, bounded memory)."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    scored = identify_language(rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), model, keep=["lang"])
+    right = scored.where("lang = lang_pred")
+    found = right.agg(F.percentile_approx("score", refused, 100_000)).first()[0]
+    return 0.0 if found is None else min(SURE, float(found))
+
+
+def keep_known_language(docs: DataFrame, min_score: float | None = None) -> DataFrame:
     """The rows whose language is known with a posterior of at least ``min_score``, with their own
     columns and values, whatever they are called.
 
-    Null texts and texts without a letter have no known language and go. Where no training row
-    has a language there is no model to reject by: every row stays. Repeated rows are judged each.
+    By default the least score is calibrated (``least_score``) on labelled rows that the model has
+    not learned from, those that ``training_rows`` leaves out. Null texts and texts without a letter
+    have no known language and go. Where no training row has a language there is no model to
+    reject by: every row stays. Repeated rows are judged each; an empty table stays empty.
     """
     model = fit_language_model(training_rows(docs), key=F.col("doc_id"))
     if not model.languages:
         return docs
+    if min_score is None:
+        min_score = least_score(calibration_rows(docs), model)
     renamed, called = set_aside(docs, ["lang_pred", "score"])
     judged = identify_language(renamed, model)
     return put_back(judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)), called)

@@ -18,6 +18,8 @@ STRENGTH = 2.0
 PART_ROWS = 5000
 #: Two branches are alike unless their purities differ by so many standard errors.
 Z = 1.96
+#: A branch with fewer labelled pages, its own or else those of its name over all hosts, is unknown.
+LEAST_LABELS = 5
 
 #: (host, path, verdict)
 RULES = (
@@ -56,7 +58,12 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
 
 
 def path_tree(
-    leaves: DataFrame, levels: int = LEVELS, many: int = MANY, strength: float = STRENGTH, z: float = Z
+    leaves: DataFrame,
+    levels: int = LEVELS,
+    many: int = MANY,
+    strength: float = STRENGTH,
+    z: float = Z,
+    least: int = LEAST_LABELS,
 ) -> DataFrame:
     """(key, template, purity) of each of ``leaves`` (key, host, path, n, bad), which are different
     paths of hosts with their labelled pages ``n`` and the ``bad`` ones among them.
@@ -66,11 +73,14 @@ def path_tree(
     1. variable segments become one wildcard ``*``: numbers, segments of 32 or more characters,
        and where the node has over ``many`` different segments those with fewer paths than the
        mean (of a node's segments the frequent ones name sections, the rare ones name pages);
-    2. branches are compared: a branch's evidence is its labelled pages and ``strength``
-       pseudo-pages of the same branch's purity over all hosts. Branches whose share of bad pages
-       does not differ from that of the node's other branches by ``z`` standard errors (a test of
-       two proportions) are alike, and several of them are merged into one node ``+``, whose
-       evidence and subtrees are theirs together;
+    2. branches are compared by their labelled pages: a branch's own where the host has at least
+       ``least`` of them there, else those of the same branch over all hosts; with fewer than
+       ``least`` of these too it is unknown. Known branches whose share of bad pages does not differ
+       from that of the node's other known branches by ``z`` standard errors (a test of two
+       proportions, the others together having ``least`` labels too) are alike, and several of
+       them are merged into one node ``+``, whose evidence and subtrees are theirs together.
+       Unknown and different branches keep their names. A branch's evidence is its own labelled
+       pages and ``strength`` pseudo-pages of the same branch's purity over all hosts;
     3. a node's purity is its evidence, smoothed by ``strength`` pseudo-pages of its parent's. The
        root's parent is the purity of the whole table, itself smoothed to one half of no page.
 
@@ -115,23 +125,29 @@ def path_tree(
         variable = F.col("segment").rlike("^[0-9]+$") | (F.length("segment") >= 32) | rare
         told = lookup(found, sizes, "node", hot).withColumn("name", F.when(variable, "*").otherwise(F.col("segment")))
         told = kept(told.withColumn("branch", F.concat_ws("\x01", "node", "name")))
-        across = told.groupBy("template", "name").agg(smooth(F.sum("bad"), F.sum("n"), everywhere).alias("x"))
-        across = across.select(F.concat_ws("\x01", "template", "name").alias("kind"), "x").coalesce(parts)
+        across = told.groupBy("template", "name").agg(F.sum("bad").alias("xb"), F.sum("n").alias("xn"))
+        across = across.select(F.concat_ws("\x01", "template", "name").alias("kind"), "xb", "xn").coalesce(parts)
         seen = told.groupBy("branch", "node", "template", "name").agg(
             F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("above").alias("above")
         )
         seen = kept(seen.withColumn("kind", F.concat_ws("\x01", "template", "name")))
+        x, enough = smooth(F.col("xb"), F.col("xn"), everywhere), F.col("n") >= least
+        known = enough | (F.col("xn") >= least)
         seen = kept(
             lookup(seen, across, "kind", hot_keys(seen, "kind")).select(
-                "branch", "node", "name", "above", (F.col("bad") + s * F.col("x")).alias("e"), (F.col("n") + s).alias("m")
+                "branch", "node", "name", "above", (F.col("bad") + s * x).alias("e"), (F.col("n") + s).alias("m"),
+                F.when(known, F.when(enough, F.col("bad")).otherwise(F.col("xb"))).otherwise(0).alias("tb"),
+                F.when(known, F.when(enough, F.col("n")).otherwise(F.col("xn"))).otherwise(0).alias("tn"),
             )
         )
-        pooled = seen.groupBy("node").agg(F.sum("e").alias("se"), F.sum("m").alias("sm")).coalesce(parts)
-        e, m, oe, om = F.col("e"), F.col("m"), F.col("se") - F.col("e"), F.col("sm") - F.col("m")
-        p = F.col("se") / F.col("sm")
-        error = F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (1 / m + 1 / om))
+        pooled = seen.groupBy("node").agg(F.sum("tb").alias("sb"), F.sum("tn").alias("sn")).coalesce(parts)
+        e, m, tb, tn = F.col("e"), F.col("m"), F.col("tb"), F.col("tn")
+        ob, on = F.col("sb") - tb, F.col("sn") - tn
+        p = F.col("sb") / F.col("sn")
+        error = F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) * (1 / tn + 1 / on))
         # rounded, so that the order of sums does not decide
-        alike = (om > 0.5) & (F.round(F.abs(e / m - oe / om), 9) <= F.round(F.lit(float(z)) * error, 9))
+        near = F.round(F.abs(tb / tn - ob / on), 9) <= F.round(F.lit(float(z)) * error, 9)
+        alike = F.when((tn > 0) & (on >= least), near).otherwise(False)
         tested = kept(lookup(seen, pooled, "node", hot).withColumn("alike", alike))
         groups = tested.where("alike").groupBy("node").agg(
             F.count(F.lit(1)).alias("several"), smooth(F.sum("e"), F.sum("m"), F.first("above")).alias("shared")
@@ -142,7 +158,7 @@ def path_tree(
         final = lookup(tested, groups, "node", hot).select(
             "branch",
             F.when(merged, "+").otherwise(F.col("name")).alias("to"),
-            F.when(merged, F.col("shared")).otherwise(smooth(F.col("e"), F.col("m"), F.col("above"))).alias("own"),
+            F.when(merged, F.col("shared")).otherwise(smooth(e, m, F.col("above"))).alias("own"),
         )
         known = lookup(told, kept(final), "branch", hot_keys(told, "branch"))
         known = kept(known.select(F.concat_ws("\x01", "node", "segment").alias("at"), "to", "own"))

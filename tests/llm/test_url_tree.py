@@ -10,7 +10,7 @@ import pytest
 from skein.llm.url_filter import RULES, judge_urls
 from tests.conftest import SMALL
 
-LEVELS, MANY, K, Z = 4, 12, 2.0, 1.96
+LEVELS, MANY, K, Z, LEAST = 4, 12, 2.0, 1.96, 5
 
 
 def parse(url):
@@ -57,16 +57,20 @@ def plain_tree(urls):
                     across[template, name][0] += stats[key][0]
                     across[template, name][1] += stats[key][1]
         for node, names in named.items():
-            seen = {}
+            seen, evidence = {}, {}
             for name, keys in names.items():
                 xn, xb = across[node[1], name]
-                seen[name] = (sum(stats[k][1] for k in keys) + K * (xb + K * base) / (xn + K), sum(stats[k][0] for k in keys) + K)
-            se, sm = (sum(v[k] for v in seen.values()) for k in (0, 1))
+                n, bad = (sum(stats[k][i] for k in keys) for i in (0, 1))
+                seen[name] = (bad + K * (xb + K * base) / (xn + K), n + K)
+                evidence[name] = (bad, n) if n >= LEAST else (xb, xn) if xn >= LEAST else (0, 0)
+            se, sm = (sum(v[k] for v in evidence.values()) for k in (0, 1))
             alike = []
-            for name, (e, m) in seen.items():
-                oe, om, p = se - e, sm - m, se / sm
-                if om > 0.5 and round(abs(e / m - oe / om), 9) <= round(Z * math.sqrt(max(p * (1 - p), 0) * (1 / m + 1 / om)), 9):
-                    alike.append(name)
+            for name, (e, m) in evidence.items():
+                oe, om = se - e, sm - m
+                if m and om >= LEAST:
+                    p = se / sm
+                    if round(abs(e / m - oe / om), 9) <= round(Z * math.sqrt(max(p * (1 - p), 0) * (1 / m + 1 / om)), 9):
+                        alike.append(name)
             alike = alike if len(alike) > 1 else []
             groups = defaultdict(list)
             for name in names:
@@ -108,3 +112,36 @@ def test_the_tree_equals_plain_recursion(spark, source):
 def test_without_labels_all_is_allowed(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x"), (2, None)], "page_id long, url string")
     assert {(r.verdict, r.purity) for r in judge_urls(pages).collect()} == {("allow", 0.0)}
+
+
+def verdicts(spark, urls):
+    rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    return {urls[r.page_id]: r for r in rows}
+
+
+def test_a_host_without_labels_judges_by_what_its_branches_are_elsewhere(spark):
+    """By outcome: sections that rules block elsewhere are blocked, those that they allow allowed."""
+    labelled = [f"http://h.com/{lang}/{kind}/{i}" for lang in ("de", "fr") for kind in ("news", "shop") for i in range(40)]
+    asked = [f"http://u.net/{lang}/{kind}/{i}" for lang in ("de", "fr") for kind in ("news", "blog") for i in range(20)]
+    found = verdicts(spark, [*labelled, *asked])
+    for url in asked:
+        assert found[url].verdict == ("block" if "/de/" in url else "allow"), (url, found[url])
+    templates = {lang: {found[u].template.split("/")[1] for u in asked if f"/{lang}/" in u} for lang in ("de", "fr")}
+    assert templates == {"de": {"de"}, "fr": {"fr"}}
+
+
+def test_branches_known_to_be_alike_are_merged_and_unknown_ones_are_not(spark):
+    labelled = [f"http://h.com/{lang}/{kind}/{i}" for lang in ("de", "fr") for kind in ("news", "shop") for i in range(40)]
+    found = verdicts(spark, [*labelled, *(f"http://u.net/{x}/a/{i}" for x in ("new", "other") for i in range(30))])
+    assert {r.template.split("/")[1] for u, r in found.items() if "u.net" in u} == {"new", "other"}
+    assert {r.template.split("/")[2] for u, r in found.items() if "h.com/de" in u} == {"+"}
+
+
+def test_a_host_with_labels_of_its_own_goes_by_them(spark):
+    """The language is blocked everywhere but on one host, whose own rule allows it."""
+    rules = (("com", "/de/", "block"), ("good.com", "/de/news/", "allow"), ("com", "/fr/", "allow"))
+    urls = [f"http://h{k}.com/{lang}/x/{i}" for k in range(4) for lang in ("de", "fr") for i in range(20)]
+    urls += [f"http://good.com/de/news/{i}" for i in range(40)]
+    rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()
+    assert {r.verdict for r in rows if r.host == "good.com"} == {"allow"}
+    assert max(r.purity for r in rows if r.host == "good.com") < 0.5
