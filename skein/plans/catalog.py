@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import code, documents, facts, graphs, incremental, ranking, records, selection, splitting
+from skein.plans import code, documents, facts, global_search, graphs, incremental, ranking, records, selection, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (ranking, documents, graphs, facts, selection, code, records, incremental, splitting)
+PARTS = (ranking, documents, graphs, facts, selection, code, records, incremental, splitting, global_search)
 
 
 def queries() -> dict[str, Query]:
