@@ -124,10 +124,10 @@ walk(query_id, node, hop) AS (
 SELECT query_id, node, CAST(min(hop) AS INTEGER) AS hop FROM walk GROUP BY 1, 2"""
 
 
-@query(walk_sql(TRADE, 2))
+@query(walk_sql(TRADE, 3))
 def graph_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A customer's orders and their suppliers."""
-    return graph.hops(trade_edges(spark, sf_dir), seeds(spark, sf_dir), 2)
+    """A customer's orders, their suppliers, and the orders of those."""
+    return graph.hops(trade_edges(spark, sf_dir), seeds(spark, sf_dir), 3)
 
 
 @query(walk_sql("edges AS (SELECT concat('o', o_orderkey) AS src, concat('c', o_custkey) AS dst FROM orders)", 3))

@@ -249,9 +249,14 @@ def row_line(title: str, header: list[str], cells: list[str]) -> str:
     return f"Context: {title} | Columns: [{', '.join(header)}] | Data: {named}"
 
 
-def workbooks(spark: SparkSession, path: str) -> DataFrame:
+#: The largest file that is read whole.
+MOST_BYTES = 100 * 1024 * 1024
+
+
+def workbooks(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(id, text, source, sheet, row, error): one row per row of each sheet of the .xlsx files
-    under ``path``. A file that cannot be read is one row with its error; others go on."""
+    under ``path``. A file that cannot be read or has over ``most_bytes`` is one row with its error;
+    others go on."""
     schema = "source string, sheet string, row long, text string, error string"
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,9 +270,13 @@ def workbooks(spark: SparkSession, path: str) -> DataFrame:
                     found = [(source, None, None, None, f"{type(problem).__name__}: {problem}")]
                 yield pd.DataFrame(found, columns=["source", "sheet", "row", "text", "error"], dtype=object)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    fit = files.where(F.lower("path").endswith(".xlsx") & (F.col("length") <= MOST_BYTES))
-    rows = fit.select("path", "content").mapInPandas(read, schema)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").endswith(".xlsx"))
+    rows = files.where(F.col("length") <= most_bytes).select("path", "content").mapInPandas(read, schema)
+    over = files.where(F.col("length") > most_bytes).select(
+        F.col("path").alias("source"), *[F.lit(None).cast(t).alias(c) for c, t in (("sheet", "string"), ("row", "long"), ("text", "string"))],
+        F.lit("file too large").alias("error"),
+    )
+    rows = rows.unionByName(over)
     key = F.concat_ws("#", "source", "sheet", F.col("row").cast("string"))
     return rows.withColumn("id", F.concat(F.lit("excel_"), F.sha2(key, 256)))
 
@@ -300,7 +309,6 @@ PARSERS: dict[str, Callable[[bytes], str]] = {
     "md": lambda data: data.decode("utf-8", "replace"),
 }
 PARSERS |= {e: PARSERS["txt"] for e in CODE_EXTENSIONS}
-MOST_BYTES = 100 * 1024 * 1024
 
 
 def directory(
