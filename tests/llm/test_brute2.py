@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from skein.llm import queries
+from skein.llm.language import BUCKETS, grams
 from skein.llm.near_dedup import near_duplicates, plant
 from skein.llm.pii import luhn
 from tests.conftest import SMALL, rows_of
@@ -150,9 +151,56 @@ def test_url_rules(spark):
         assert r.verdict == best[2] if best else r.verdict in ("allow", "block")
 
 
+def remainder(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 3
+
+
+def plain_bayes(docs):
+    """Language and posterior of each text with a letter, by dictionaries of bucket counts."""
+    counts, sizes = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for d in docs:
+        if remainder(d.doc_id) != 1 and d.lang is not None and d.text is not None:
+            sizes[d.lang] += 1
+            for buckets in grams(d.text):
+                for b in buckets.tolist():
+                    counts[d.lang][b] += 1
+    totals = {x: sum(counts[x].values()) + 0.1 * BUCKETS for x in sizes}
+    found = {}
+    for d in docs:
+        if not any(map(str.isalpha, d.text or "")):
+            found[d.doc_id] = ("und", 0.0)
+            continue
+        logs = {x: math.log(sizes[x] / sum(sizes.values())) for x in sizes}
+        for buckets in grams(d.text):
+            for b, n in Counter(buckets.tolist()).items():
+                for x in logs:
+                    logs[x] += n * math.log((counts[x].get(b, 0) + 0.1) / totals[x])
+        best = max(sorted(logs), key=logs.get)
+        found[d.doc_id] = best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+    return found
+
+
+def known_language(docs):
+    """All but a thousandth of the held-out rows told right, here all of them, pass the least score."""
+    found = plain_bayes(docs)
+    held = [found[d.doc_id][1] for d in docs if remainder(d.doc_id) == 1 and d.lang is not None and d.text is not None and found[d.doc_id][0] == d.lang]
+    least = min(0.5, min(held))
+    return [d for d in docs if found[d.doc_id][0] != "und" and found[d.doc_id][1] >= least - 1e-6]
+
+
+def test_language_equals_plain_bayes(spark):
+    docs = documents(spark)
+    want = plain_bayes(docs)
+    rows = queries.op3_language_id(spark, SMALL).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.held_out == (remainder(r.doc_id) == 1)
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
-    docs = [d for d in documents(spark) if any(map(str.isalpha, d.text or ""))]
+    docs = known_language(documents(spark))
     groups = defaultdict(list)
     for d in docs:
         groups[(d.text or "").translate(ASCII)].append(d.doc_id)
