@@ -102,4 +102,6 @@ def test_workbooks(spark, tmp_path):
         ("One", 1, "Context: b.xlsx[One] | Columns: [name, Unnamed: 1, name.1] | Data: Unnamed: 1: mid | name.1: True"),
     ]
     assert ["BadZipFile" in r.error for r in rows if r.error] == [True]
+    large = readers.workbooks(spark, str(tmp_path), most_bytes=1).collect()
+    assert [(r.error, r.text) for r in large] == [("file too large", None)] * 2
     assert readers.directory(spark, str(tmp_path)).where("error IS NULL").count() == 1
