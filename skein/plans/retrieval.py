@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import fusion, rerank, routing, search
 from skein.operators.policies import over_fetch
+from skein.operators.transforms import Transforms, folded, sub_queries
 from skein.session import cut_lineage
 
 
@@ -120,6 +121,7 @@ def search_raw(
     index: search.Bm25Index | None = None,
     expanded: DataFrame | None = None,
     channels: Channels | None = None,
+    transforms: Transforms | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank, ...) of the best rows for queries (query_id, text, embedding).
 
@@ -127,14 +129,21 @@ def search_raw(
     lexical candidates are over-fetched, joined by further ``channels``, fused, cut at the
     threshold, made diverse if asked for, re-ranked by a model if there is one, and limited;
     ``expanded`` (query_id, id, score) fills the graph's slots. ``where`` filters the dense channel
-    alone.
+    alone. With ``transforms`` the queries (query_id, text) become sub-queries, all searched in the
+    same two passes; their hits are folded to their queries before anything is fused.
     """
     config = config or Config()
     channels = channels or Channels()
     if expanded is not None:
         channels = replace(channels, expanded=expanded)
     fetch = over_fetch(config.top_k, channels.reranker is not None, config.hybrid)
-    dense, lexical = candidates(queries, vectors, documents, fetch, config.hybrid, where, index)
+    if transforms is None:
+        dense, lexical = candidates(queries, vectors, documents, fetch, config.hybrid, where, index)
+        return compose(queries, documents, dense, lexical, config, channels)
+    subs = cut_lineage(sub_queries(queries, transforms))  # the models are called once
+    asked = subs.select(F.col("sub_id").alias("query_id"), "text", "embedding")
+    found = candidates(asked, vectors, documents, fetch, config.hybrid, where, index)
+    dense, lexical = (None if hits is None else folded(hits, subs) for hits in found)
     return compose(queries, documents, dense, lexical, config, channels)
 
 
