@@ -51,13 +51,21 @@ HINTS = set(
     "promo promotion side widget widgets share sharing social related recommended recommendations "
     "pagination pager skip copyright legal".split()
 )
+#: Words that go with those in the id of such a part; with any other word an id names a subject.
+NEUTRAL = set(
+    "site page main top bottom left right head body foot content box wrap wrapper container area block section list item items "
+    "link links bar inner outer primary secondary global user reader post slot unit panel row col the my new js id".split()
+)
 PAGE_HEADER = {"header", "masthead", "banner"}
-NONE, HINT, NAME, SURE = range(4)
+NONE, TOPIC, HINT, NAME, SURE = range(5)
+#: A line of rights at the end of a page.
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b).{0,200}", re.I | re.S)
 
 
 def furniture(tag: str, attributes: str, in_article: bool) -> int:
     """Whether an element holds parts of a page other than its text: SURE by its tag or because it
-    is hidden, NAME by a name or as a form, which may be a wrapper of the text, HINT, or NONE."""
+    is hidden, NAME by a name or as a form, which may be a wrapper of the text, HINT, TOPIC for an id that has such a
+    word among others, or NONE. Headings are what they say, whatever they are called."""
     if tag in BOILERPLATE or (tag == "header" and not in_article):
         return SURE
     found = NAME if tag in FORMS else NONE
@@ -69,9 +77,12 @@ def furniture(tag: str, attributes: str, in_article: bool) -> int:
             return SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return SURE
-        if name in ("class", "id", "role"):
+        if name in ("class", "id", "role") and tag not in HEADINGS:
             words = set(re.split(r"[^a-z0-9]+", value))
-            if words & NAMED or (not in_article and words & PAGE_HEADER):
+            known = NAMED | HINTS | PAGE_HEADER | NEUTRAL
+            if name == "id" and any(w not in known and not w.isdigit() for w in words if w):
+                found = max(found, TOPIC if words & (NAMED | HINTS | PAGE_HEADER) else NONE)
+            elif words & NAMED or (not in_article and words & PAGE_HEADER):
                 found = NAME
             elif words & HINTS:
                 found = max(found, HINT)
@@ -238,8 +249,8 @@ def main_text(html: str | None) -> str:
     content paths; on a page whose content lies elsewhere, the innermost element that holds all
     content paths and the top headings. A selected node gives all its text, short or linked, but
     for elements in it that are named as parts other than text and are no wrapper of most of the
-    page's text; where a name only hints, that element's own paths decide. Outside an article,
-    lists of links go.
+    page's text; where a name only hints, or an id names a subject with one of these words, that
+    element's own paths decide. Outside an article, lists of links and a last line of rights go.
     """
     page = read_page(html or "")
     blocks = blocks_of(page)
@@ -285,7 +296,8 @@ def main_text(html: str | None) -> str:
     while page.tag[whole] in {"p", "li", *HEADINGS} or page.outer[whole] != whole:
         whole = page.parent[whole]
     # an element whose name only hints goes if its paths are not content
-    hinted = page.inherited([page.kind[e] == HINT and not wrapper(e) and 2 * good[e] < plain[e] + linked[e] for e in elements])
+    unsure = [page.kind[e] in (TOPIC, HINT) and not wrapper(e) for e in elements]
+    hinted = page.inherited([unsure[e] and 2 * good[e] < plain[e] + linked[e] for e in elements])
     inside = page.inherited([e == whole for e in elements])
     out = []
     for b in blocks:
@@ -297,6 +309,8 @@ def main_text(html: str | None) -> str:
         if b.linked and not regions and not heading and linked[above] > plain[above]:
             continue
         out.append(b.text)
+    while not regions and len(out) > 1 and RIGHTS.fullmatch(out[-1]):
+        out.pop()
     return " ".join(out)
 
 

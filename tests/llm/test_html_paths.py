@@ -65,3 +65,43 @@ def test_unclosed_tags_take_linear_memory(tag):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60e6 and time.perf_counter() - before < 60
+
+
+def split_pages(spark):
+    for p in spark.read.parquet(f"{SMALL}/pages.parquet").collect():
+        yield p.html, main_text(p.html), main_text(re.sub(r"</?article>", "", p.html))
+
+
+def test_pages_with_and_without_marks_give_the_same_words_in_order(spark):
+    """As sequences: a lost or doubled paragraph of common words shows."""
+    from difflib import SequenceMatcher
+
+    same = whole = 0
+    for _, marked, bare in split_pages(spark):
+        a, b = marked.split(), bare.split()
+        whole += max(len(a), len(b))
+        same += len(a) if a == b else sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    assert same > 0.97 * whole
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        (f"<section id='notice-periods'><h2>Notice</h2><p>{LONG}</p></section>", f"Notice {LONG}"),
+        ("<h2 id='search'>How search works</h2>", "How search works"),
+        ("<h3 class='menu'>The menu of the day</h3>", "The menu of the day"),
+        (f"<div id='banner-history'><p>{LONG}</p></div>", LONG),
+        ("<div id='cookie-banner'><p>Take our cookies, please.</p></div>", ""),
+        ("<div id='comments-2'><p>I do not agree, at all.</p></div>", ""),
+        ("<div id='footer-links'><p>Terms, and all.</p></div>", ""),
+    ],
+)
+@pytest.mark.parametrize("outer", ["article", "div"])
+def test_an_id_that_names_a_subject_is_no_furniture(part, text, outer):
+    page = f"<body><nav>Menu</nav><{outer}><h1>Title</h1><p>{LONG}</p>{part}<p>The end, of it.</p></{outer}></body>"
+    assert main_text(page) == " ".join(f"Title {LONG} {text} The end, of it.".split())
+
+
+def test_a_last_line_of_rights_goes_from_an_unmarked_page():
+    page = f"<body><div><h1>Title</h1><p>Copyright law, explained, at length.</p><p>{LONG}</p><p>Copyright 2020 A. Person. All rights reserved.</p></div></body>"
+    assert main_text(page) == f"Title Copyright law, explained, at length. {LONG}"
