@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import jaccard, tokens
+from skein.operators.budget import fill_budget as fill_budget
 from skein.operators.components import connected_components
 from skein.operators.running import in_ranges, running
 from skein.operators.search import similar_pairs
@@ -392,23 +393,3 @@ def prefix_budget(rows: DataFrame, budget: int, cost: Column) -> DataFrame:
     ranged = in_ranges(rows, ["query_id"], ["rank"])
     spent = running(ranged, ["query_id"], ["rank"], "spent", cost)
     return spent.where(F.col("spent") <= budget).drop("_range")
-
-
-def fill_budget(rows: DataFrame, budget: int) -> DataFrame:
-    """(query_id, id) chosen in rank order; a row that does not fit is skipped, later ones may.
-
-    Rows that cost more than the whole budget are never chosen and go before a query is gathered.
-    """
-    rows = rows.where(F.col("cost") <= budget)
-    ordered = F.array_sort(F.collect_list(F.struct("rank", "id", F.col("cost").cast("long").alias("cost"))))
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast(f"array<{dict(rows.dtypes)['id']}>").alias("ids"))
-
-    def take(state: Column, row: Column) -> Column:
-        fits = state["spent"] + row["cost"] <= budget
-        return F.struct(
-            F.when(fits, state["spent"] + row["cost"]).otherwise(state["spent"]).alias("spent"),
-            F.when(fits, F.concat(state["ids"], F.array(row["id"]))).otherwise(state["ids"]).alias("ids"),
-        )
-
-    chosen = rows.groupBy("query_id").agg(F.aggregate(ordered, start, take)["ids"].alias("ids"))
-    return chosen.select("query_id", F.explode("ids").alias("id"))
