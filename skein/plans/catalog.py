@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import code, documents, facts, global_search, graphs, hybrid, incremental, ranking, records, rewritten, selection, splitting
+from skein.plans import code, documents, facts, files, global_search, graphs, hybrid, incremental, ranking, records, rewritten, selection, splitting
 
 Query = Callable[[SparkSession, str], DataFrame]
-PARTS = (ranking, documents, graphs, facts, selection, code, records, incremental, splitting, global_search, rewritten, hybrid)
+PARTS = (ranking, documents, graphs, facts, selection, code, records, incremental, splitting, global_search, rewritten, hybrid, files)
 
 
 def queries() -> dict[str, Query]:

@@ -159,11 +159,40 @@ def mail_text(data: bytes) -> str:
     return "\n".join([*heads, "", text.strip()])
 
 
+#: What an RTF file is made of: a byte, a UTF-16 unit, a control word, a control sign, a brace, text.
+RTF = re.compile(r"\\'([0-9a-fA-F]{2})|\\u(-?\d+) ?|\\([a-zA-Z]+)(?:-?\d+)? ?|\\(.)|([{}])|([^\\{}\r\n]+)", re.S)
+#: Groups that hold no text, and control words that are characters. Fixed values of the format.
+RTF_SILENT = {"fonttbl", "colortbl", "stylesheet", "info", "pict", "header", "footer"}
+RTF_WORDS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "tab": "\t", "emdash": "—", "endash": "–", "bullet": "•",
+             "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+
+
 def rtf_text(data: bytes) -> str:
-    text = re.sub(r"\\par[d]?\b ?", "\n", data.decode("latin-1"))
-    text = re.sub(r"\\'([0-9a-f]{2})", lambda m: bytes.fromhex(m[1]).decode("latin-1"), text)
-    text = re.sub(r"\{\\\*[^{}]*\}|\{\\(fonttbl|colortbl|stylesheet)[^{}]*(\{[^{}]*\}[^{}]*)*\}", "", text)
-    return re.sub(r"\\[a-z]+-?\d* ?|[{}]", "", text).strip()
+    """The text of an RTF file, trimmed. A UTF-16 unit takes the place of the one character after it."""
+    out: list[str] = []
+    groups, silent, stand_in = [], False, False
+    for byte, unit, word, sign, brace, text in RTF.findall(data.decode("latin-1")):
+        if brace == "{":
+            groups.append(silent)
+        elif brace:
+            silent = groups.pop() if groups else False
+        elif sign == "*" or word in RTF_SILENT:
+            silent = True
+        elif silent:
+            continue
+        elif unit:
+            out.append(chr(int(unit) % 65536))
+        else:
+            said = bytes.fromhex(byte).decode("cp1252", "replace") if byte else text
+            if stand_in:
+                said = said[1:]
+            elif sign:
+                said = {"~": "\xa0", "_": "-", "-": ""}.get(sign, sign if sign in "\\{}" else "")
+            elif word:
+                said = RTF_WORDS.get(word, "")
+            out.append(said)
+        stand_in = bool(unit)
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
 
 
 def zipped_xml_text(part: str, unit: str) -> Callable[[bytes], str]:
@@ -285,12 +314,17 @@ def workbook_text(data: bytes) -> str:
     return "\n".join(row_line(sheet, header, cells) for sheet, _, header, cells in workbook_rows(data))
 
 
-def epub_text(data: bytes) -> str:
+def epub_chapters(data: bytes) -> Iterator[tuple[str, str]]:
+    """(name, text) of a book's pages in order of their names."""
     import zipfile
 
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-        names = sorted(n for n in archive.namelist() if n.endswith((".xhtml", ".html", ".htm")))
-        return "\n\n".join(visible_text(archive.read(n).decode("utf-8", "replace")) for n in names)
+        for name in sorted(n for n in archive.namelist() if n.endswith((".xhtml", ".html", ".htm"))):
+            yield name, visible_text(archive.read(name).decode("utf-8", "replace"))
+
+
+def epub_text(data: bytes) -> str:
+    return "\n\n".join(text for _, text in epub_chapters(data))
 
 
 #: Extension to a parser of a file's bytes. More can be added: PDF and images need libraries or
