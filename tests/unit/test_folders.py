@@ -19,7 +19,7 @@ def test_every_known_file_gives_a_row(spark, tmp_path):
     (tmp_path / "blank.csv").write_text("\n")
     (tmp_path / "bad.json").write_text("{")
     (tmp_path / "list.json").write_text(json.dumps([{"text": "x", "n": 1, "z": None}, "no object", {"k": [1]}]))
-    (tmp_path / "t.csv").write_text("name,town\nAnn, Oslo \n\nBob,\nCid,Rome,9\n")
+    (tmp_path / "t.csv").write_text("name,age\nAnn,31 \n\nBob,45\nCid,40,9\n")
     (tmp_path / "p.py").write_text("a = 1\n")
     (tmp_path / "large.md").write_text("y" * 500)
     (tmp_path / "skip.bin").write_bytes(b"x")
@@ -32,7 +32,7 @@ def test_every_known_file_gives_a_row(spark, tmp_path):
     assert errors["blank.csv"] == "no records" and errors["large.md"] == "file too large" and "JSONDecodeError" in errors["bad.json"]
     assert set(errors) == {"blank.csv", "large.md", "bad.json"}
     assert texts_of(rows, "p.py") == ["a = 1\n"]
-    assert [t.split("Data: ")[1] for t in texts_of(rows, "t.csv")] == ["name: Ann | town: Oslo", "name: Bob", "name: Cid | town: Rome | Extra_Col_2: 9"]
+    assert [t.split("Data: ")[1] for t in texts_of(rows, "t.csv")] == ["name: Ann | age: 31", "name: Bob | age: 45", "name: Cid | age: 40 | Extra_Col_2: 9"]
     assert [(r.text.split("\n")[1], r.metadata) for r in rows if r.kind == "json" and r.row is not None] == [("x", {"n": "1"}), ('{"k": [1]}', {"k": "[1]"})]
     assert [r.metadata for r in rows if r.kind == "log"] == [{"size": "1"}]
     assert len({r.id for r in rows}) == len(rows)
