@@ -49,7 +49,7 @@ class HybridStore:
         )
         types = {f.name: f.dataType for f in T.StructType.fromDDL(self.schema)}
         both = both.select(*[F.col(c).cast(types[c]).alias(c) for c in both.columns])
-        both.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows")
+        both.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows")
         written = self.rows()
         df = written.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         df.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.folder}/terms")

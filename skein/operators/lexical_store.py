@@ -57,7 +57,7 @@ class LexicalStore:
     def write(self, number: int, kind: str, rows: DataFrame) -> None:
         writer = rows.write.mode("overwrite")
         if kind == "postings":  # a bucket's terms lie together, so that row groups can be skipped
-            writer = rows.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket")
+            writer = rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket")
         writer.parquet(f"{self.folder}/generation={number}/{kind}")
 
     def change(self, docs: DataFrame, gone: DataFrame) -> int:
