@@ -68,3 +68,14 @@ def test_rtf_groups_and_signs():
     unit = b"\\" + b"u8212?"
     data = rb"{\rtf1{\*\generator X;}{\info{\title T}}A\~b \'e9\par\b bold\b0\emdash c" + unit + rb"\'80 d}"
     assert readers.rtf_text(data) == "A\xa0b é\nbold—c—€ d"
+
+
+def test_headers_are_told_by_the_columns_that_rows_have():
+    told = lambda text: [r[0].split("Columns: ")[1] for r in folders.table_records(text, "t")]
+    # an 'e' or '1' in each line is no delimiter; a name as long as the words below it is still a name
+    for lang in ("en", "none"):
+        for n in (8, 1020, 1344):
+            found = told(f"key,lang\n{n},{lang}\n{n + 1},{lang}\n{n + 2},{lang},more\n")
+            assert found[0] == f"[key, lang, Extra_Col_2] | Data: key: {n} | lang: {lang}" and len(found) == 3
+    assert told("1,2\n3,4\n") == ["[Col_0, Col_1] | Data: Col_0: 1 | Col_1: 2", "[Col_0, Col_1] | Data: Col_0: 3 | Col_1: 4"]
+    assert told("a,b\n") == ["[Col_0, Col_1] | Data: Col_0: a | Col_1: b"]
