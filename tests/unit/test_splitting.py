@@ -153,3 +153,9 @@ def test_cosine_query_equals_a_plain_loop(spark):
         assert [c for _, c in sorted(found.get(d.doc_id, []))] == want
         several += len(want) > 1
     assert several > 20
+
+
+def test_files_without_definitions_are_cut_into_blocks():
+    for path, text in (("c.go", ""), ("c.go", "package main\n"), ("a.rs", "// none"), ("a.sh", "ls -l\ncd /")):
+        rows = split_code(text, path)
+        assert "".join(r["chunk"] for r in rows) == text.strip() and all(r["is_fallback"] for r in rows)
