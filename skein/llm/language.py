@@ -7,14 +7,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import fresh_name, put_back, set_aside
 
 BUCKETS, ORDERS = 1 << 16, (1, 2, 3)
-#: Labelled documents of one language that the model learns from, in expectation.
-SAMPLE_PER_LANGUAGE = 10_000
 #: Languages a model may have: with BUCKETS it bounds the broadcast matrix (4 bytes a cell).
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
@@ -108,15 +106,11 @@ def fit_language_model(
     labelled: DataFrame,
     text_col: str = "text",
     lang_col: str = "lang",
-    key: Column | None = None,
-    sample_per_language: int = SAMPLE_PER_LANGUAGE,
     smoothing: float = 0.1,
 ) -> LanguageModel:
     """Naive Bayes counts of the rows with a text and a language.
 
-    Of a language with more than ``sample_per_language`` such rows, those are used whose hash of
-    ``key`` (by default of the text) falls under the fitting share: as many in expectation, the
-    same ones each time. Counts are summed per task, then by language and bucket; the driver gets
+    All of them count. Counts are summed per task, then by language and bucket; the driver gets
     at most BUCKETS cells a language. Over MAX_LANGUAGES languages are an error. No usable row
     gives a model without languages.
     """
@@ -127,11 +121,6 @@ def fit_language_model(
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    place = F.pmod(F.xxhash64(key if key is not None else F.col(text_col)), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for name in languages:
-        share = min(1.0, sample_per_language / sizes[name])
-        chosen = chosen | ((F.col(lang_col) == name) & (place < int(share * (1 << 20))))
 
     def count(batches):
         totals = np.zeros((len(languages), BUCKETS), np.int64)
@@ -146,8 +135,7 @@ def fit_language_model(
         )
 
     cells = (
-        rows.where(chosen)
-        .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+        rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
         .mapInArrow(count, "lang int, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
@@ -195,11 +183,9 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.where(F.crc32(F.col(id_col).cast("string")) % 3 != 1)
 
 
-def calibration_rows(docs: DataFrame, id_col: str = "doc_id", most: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """About ``most`` labelled documents, by hash of their id, that no model learns from."""
-    rest = docs.where((F.crc32(F.col(id_col).cast("string")) % 3 == 1) & F.col("lang").isNotNull())
-    share = min(1.0, most / max(1, rest.count()))
-    return rest.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def calibration_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The labelled documents that no model learns from."""
+    return docs.where((F.crc32(F.col(id_col).cast("string")) % 3 == 1) & F.col("lang").isNotNull())
 
 
 #: Of the labelled rows that a model gets right, the share that its least score may refuse.
@@ -228,7 +214,7 @@ def keep_known_language(docs: DataFrame, min_score: float | None = None) -> Data
     have no known language and go. Where no training row has a language there is no model to
     reject by: every row stays. Repeated rows are judged each; an empty table stays empty.
     """
-    model = fit_language_model(training_rows(docs), key=F.col("doc_id"))
+    model = fit_language_model(training_rows(docs))
     if not model.languages:
         return docs
     if min_score is None:

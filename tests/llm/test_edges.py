@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 
 import public_tokenizers
@@ -318,3 +319,11 @@ def test_pipeline_stages_keep_the_columns(spark, odd, tmp_path):
         assert docs.columns == odd.columns, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
     assert corpus_pipeline.STAGES[0][1](spark, odd.limit(0), str(tmp_path)).isEmpty()
+
+
+def test_language_counts_come_from_all_rows(spark):
+    model = fit_language_model(spark.range(12_000).select(F.lit("q").alias("text"), F.lit("xx").alias("lang")))
+    weights = model.weights[:, 0].astype(float)
+    # an n-gram that each text has once, over one that none has: (n + 0.1) / 0.1
+    seen = sorted({round(0.1 * (math.exp(w - weights.min()) - 1)) for w in weights})
+    assert seen[0] == 0 and abs(seen[1] - 12_000) < 20
