@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.operators.components import hot_keys, lookup
+from skein.session import cut_lineage
+
 
 def code_nodes(chunks: DataFrame) -> DataFrame:
     """(node_id, node_type, name, file_path, n_chunks) of files and symbols.
@@ -70,13 +73,22 @@ def import_edges(chunks: DataFrame) -> DataFrame:
 
 
 def mention_edges(nodes: DataFrame, prose: DataFrame) -> DataFrame:
-    """Symbols of four or more characters to the prose chunks (id, text) that name them as a word."""
-    symbols = nodes.where((F.col("node_type") != "file") & (F.length("name") >= 4))
+    """Symbols of four or more characters to the prose chunks (id, text) that name them as a word. Prose
+    that says a frequent word stays where it is: the symbols of that name are broadcast."""
+    symbols = nodes.where((F.col("node_type") != "file") & (F.length("name") >= 4)).select("node_id", "name").distinct()
     words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
-    spoken = prose.select("id", F.explode(words).alias("name"))
-    return spoken.join(symbols.select("node_id", "name"), "name").select(
-        F.col("node_id").alias("source"), F.col("id").alias("target"), F.lit("MENTIONED_IN").alias("edge_type")
-    ).distinct()
+    spoken = prose.select("id", F.explode(words).alias("name")).where(F.length("name") >= 4)
+    spoken = cut_lineage(spoken.distinct())
+    hot = hot_keys(spoken, "name")
+    # a node of one name meets a chunk once; only others can repeat an edge
+    span = symbols.groupBy("node_id").agg(F.min("name").alias("name"), F.max("name").alias("last"))
+    several = symbols.join(span.where("name <> last"), "node_id", "left_semi")
+
+    def edges(named: DataFrame) -> DataFrame:
+        found = lookup(spoken, named.select("node_id", "name"), "name", hot)
+        return found.select(F.col("node_id").alias("source"), F.col("id").alias("target"), F.lit("MENTIONED_IN").alias("edge_type"))
+
+    return edges(span.where("name = last")).unionByName(edges(several).distinct())
 
 
 def expand(matched: DataFrame, edges: DataFrame, members: DataFrame, k: int, score: float = 0.5) -> DataFrame:

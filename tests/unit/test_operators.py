@@ -280,3 +280,14 @@ def test_bm25_without_an_index_equals_the_index(spark):
     assert search.bm25_search(docs, asked, 0).isEmpty()
     assert search.bm25_search(docs, asked.limit(0)).isEmpty()
     assert search.bm25_search(docs.limit(0), asked).isEmpty()
+
+
+def test_a_word_that_all_prose_says_stays_in_its_partitions(spark):
+    from skein.operators.codegraph import mention_edges
+
+    rows = [("f::load", "load"), ("g::load", "load"), ("f::keep", "keep"), ("f::two", "load"), ("f::two", "keep")]
+    nodes = spark.createDataFrame([(n, "function", name) for n, name in rows] + [("f", "file", "load")], "node_id string, node_type string, name string")
+    prose = spark.range(4000).selectExpr("id", "concat('see load() ', if(id % 1000 = 0, 'keep', concat('w', id)), ' load') AS text")
+    edges = mention_edges(nodes, prose.union(prose.where("id < 9")))
+    assert {r.source: r["count"] for r in edges.groupBy("source").count().collect()} == {"f::load": 4000, "g::load": 4000, "f::two": 4000, "f::keep": 4}
+    assert "LeftAnti" in edges._jdf.queryExecution().toString()  # hot words are looked up apart
