@@ -362,10 +362,11 @@ def text_payload_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search in a lexical index that was saved and loaded."""
     at = folder(spark)
-    made = search.Bm25Index.build(table(spark, sf_dir, "documents"), id_col="doc_id")
-    stores.save({k: getattr(made, k) for k in ("postings", "terms", "stats")}, at)
-    found = stores.load(spark, at, "postings", "terms", "stats")
-    return search.Bm25Index(found["postings"], found["terms"], found["stats"]).search(asked(spark, sf_dir))
+    stores.save({"bags": search.bags(table(spark, sf_dir, "documents"), id_col="doc_id")}, at)
+    made = search.Bm25Index.of(stores.load(spark, at, "bags")["bags"])
+    stores.save({"terms": made.terms, "stats": made.stats}, at)
+    found = stores.load(spark, at, "bags", "terms", "stats")
+    return search.Bm25Index.of(found["bags"], found["terms"], found["stats"]).search(asked(spark, sf_dir))
 
 
 @query(
