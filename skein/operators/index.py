@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.operators.search import best_rows, matrix, slices, top_k, unit_rows
+from skein.operators.search import CELLS, Best, matrix, top_k, unit_rows
 
 #: Vectors that the centroids are fitted to, whatever the table's size.
 SAMPLE = 20_000
@@ -96,14 +96,20 @@ class VectorIndex:
 
         def score(batches):
             names, weights, probed = shared.value
-            for batch in slices(batches, len(names)):
+            order = np.argsort(probed, axis=None, kind="stable")
+            part_of, who_of = probed.ravel()[order], order // max(1, probed.shape[1])
+            best = Best(names, k, schema.names)
+            for batch in batches:
                 part = batch["part"].to_numpy()
                 for p in np.unique(part):
-                    own, who = np.flatnonzero(part == p), np.flatnonzero((probed == p).any(axis=1))
-                    if len(who):
-                        near = unit_rows(matrix(batch["embedding"].take(pa.array(own))))
-                        scores = np.round(near @ weights[who].T, 6)
-                        yield from best_rows(scores, names.take(pa.array(who)), batch["id"].take(pa.array(own)), k, schema.names)
+                    who = who_of[np.searchsorted(part_of, p) : np.searchsorted(part_of, p, side="right")]
+                    own = pa.array(np.flatnonzero(part == p))
+                    step = max(1, CELLS // max(1, len(who)))
+                    for at in range(0, len(own) if len(who) else 0, step):
+                        few = own[at : at + step]
+                        near = unit_rows(matrix(batch["embedding"].take(few)))
+                        best.add(np.round(near @ weights[who].T, 6), batch["id"].take(few), who)
+            yield from best.batches()
 
         rows = self.rows.where(F.col("part").isin(wanted)) if wanted else self.rows.limit(0)
         return top_k(rows.mapInArrow(score, schema), k)
