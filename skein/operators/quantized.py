@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from skein.functions.text import cosine
 from skein.operators.index import SAMPLE
-from skein.operators.search import best_rows, matrix, slices, top_k, unit_rows
+from skein.operators.search import Best, matrix, slices, top_k, unit_rows
 
 #: Codewords of a part of a vector: a byte names one.
 WORDS = 256
@@ -115,12 +115,14 @@ class QuantizedIndex:
 
             def score(batches, shared=shared):
                 names, told = shared.value
+                best = Best(names, rerank, schema.names)
                 for batch in slices(batches, len(names)):
                     codes = np.frombuffer(b"".join(batch["code"].to_pylist()), np.uint8).reshape(batch.num_rows, len(told))
                     scores = np.zeros((batch.num_rows, len(names)))
                     for part in range(len(told)):
                         scores += told[part][codes[:, part]]
-                    yield from best_rows(scores, names, batch["id"], rerank, schema.names)
+                    best.add(scores, batch["id"])
+                yield from best.batches()
 
             found = found.unionByName(self.codes.mapInArrow(score, schema))
         return top_k(found, rerank).select("query_id", "id")
