@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from skein.functions.text import tokens
 from skein.operators import fusion
 from skein.operators.quantized import wide
-from skein.operators.search import CELLS, K1, B, best_rows, slices, top_k, unit_rows
+from skein.operators.search import K1, B, Best, add_up, bags, incidence, slices, top_k, unit_rows
 from skein.session import cut_lineage
 
 
@@ -37,14 +37,11 @@ class HybridStore:
 
     def build(self, docs: DataFrame, vectors: DataFrame) -> None:
         texts = docs.where("id IS NOT NULL").groupBy("id").agg(F.max("text").alias("text"))
-        words = texts.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
-        counted = words.select("id", F.explode("words").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        bags = counted.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("bag"))
-        lexical = words.select("id", F.size("words").cast("long").alias("dl")).join(bags, "id", "left")
+        lexical = bags(texts)
         near = vectors.where("id IS NOT NULL").groupBy("id").agg(F.max("embedding").alias("embedding")).withColumn("vector", F.lit(True))
         both = lexical.join(near, "id", "full_outer").select(
             "id", "embedding", F.coalesce("vector", F.lit(False)).alias("vector"), "dl",
-            F.col("bag.term").alias("terms"), F.col("bag.tf").alias("tfs"),
+            F.when(F.size("terms") > 0, F.col("terms")).alias("terms"), F.when(F.size("terms") > 0, F.col("tfs")).alias("tfs"),
             F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket"),
         )
         types = {f.name: f.dataType for f in T.StructType.fromDDL(self.schema)}
@@ -97,45 +94,37 @@ class HybridStore:
         idfs = np.array([v for _, v in weight.values()])
         shared = self.spark.sparkContext.broadcast((names.take(pa.array(seeing)), against, names.take(pa.array(saying)), lists, place, idfs))
 
-        def dense(batch, names, against):
+        def dense(batch, best, against):
             own = batch.filter(batch["vector"])
-            if own.num_rows and len(names):
-                scores = np.round(unit_rows(wide(own["embedding"], against.shape[1])) @ against.T, 6)
-                yield from labelled(best_rows(scores, names, own["id"], k, ["query_id", "id", "score"]), "dense")
+            if own.num_rows and len(against):
+                best.add(np.round(unit_rows(wide(own["embedding"], against.shape[1])) @ against.T, 6), own["id"])
 
-        def lexical(batch, names, lists, place, idfs):
+        def lexical(batch, best, has, asking, known, idfs):
             own = batch.filter(batch["terms"].is_valid())
-            if not (own.num_rows and len(names)):
+            if not (own.num_rows and asking):
                 return
-            terms = own["terms"].flatten()
-            sizes = np.diff(own["terms"].offsets.to_numpy())
-            at = pc.index_in(terms, pa.array(list(place), pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(own["terms"]).to_numpy(zero_copy_only=False)
+            at = pc.index_in(own["terms"].flatten(), known).fill_null(-1).to_numpy(zero_copy_only=False)
             tf = own["tfs"].flatten().to_numpy(zero_copy_only=False)
             row, held = np.repeat(np.arange(own.num_rows), sizes), at >= 0
             row, at, tf = row[held], at[held], tf[held]
             length = own["dl"].to_numpy(zero_copy_only=False)
             norm = k1 * (1 - b + b * length / average) if average else np.full(len(length), k1)
-            weights = np.zeros((own.num_rows, len(idfs)))
-            weights[row, at] = idfs[at] * tf * (k1 + 1) / (tf + norm[row])
-            scores = np.zeros((own.num_rows, len(names)))
-            step = max(1, CELLS // len(idfs))
-            for first in range(0, len(names), step):
-                part = lists[first : first + step]
-                has = np.zeros((len(idfs), len(part)))
-                has[[i for x in part for i in x], np.repeat(np.arange(len(part)), [len(x) for x in part])] = 1
-                scores[:, first : first + len(part)] = weights @ has
-            yield from labelled(best_rows(np.round(scores, 6), names, own["id"], k, ["query_id", "id", "score"], positive=True), "lexical")
-
-        def labelled(found, kind):
-            for rows in found:
-                kinds = pa.array([kind] * rows.num_rows, pa.string())
-                yield pa.RecordBatch.from_arrays([rows["query_id"], kinds, rows["id"], rows["score"]], names=columns)
+            scores = add_up(row, at, idfs[at] * tf * (k1 + 1) / (tf + norm[row]), has, (own.num_rows, asking))
+            best.add(np.round(scores, 6), own["id"])
 
         def score(batches):
             seeing, against, saying, lists, place, idfs = shared.value
-            for batch in slices(batches, max(len(idfs), len(seeing), len(saying))):
-                yield from dense(batch, seeing, against)
-                yield from lexical(batch, saying, lists, place, idfs)
+            known = pa.array(list(place), pa.string())
+            near, said = Best(seeing, k, ["query_id", "id", "score"]), Best(saying, k, ["query_id", "id", "score"], positive=True)
+            has = incidence(lists, len(idfs))
+            for batch in slices(batches, max(len(has[1]), len(seeing), len(saying))):
+                dense(batch, near, against)
+                lexical(batch, said, has, len(lists), known, idfs)
+            for best, kind in ((near, "dense"), (said, "lexical")):
+                for rows in best.batches():
+                    kinds = pa.array([kind] * rows.num_rows, pa.string())
+                    yield pa.RecordBatch.from_arrays([rows["query_id"], kinds, rows["id"], rows["score"]], names=columns)
 
         return score
 
