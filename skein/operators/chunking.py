@@ -6,12 +6,13 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skein.operators.batches import text_slices
+
 # fixed values: abbreviations that do not end a sentence
 ABBREVIATIONS = (
     "mr", "mrs", "ms", "dr", "prof", "rev", "st", "gen", "rep", "sen", "ph.d", "m.d", "b.a", "m.a", "b.s", "m.s",
@@ -119,15 +120,19 @@ SPLITTERS = {"semantic": semantic, "recursive": recursive, "markdown": markdown,
 
 
 def chunk(docs: DataFrame, splitter: str = "semantic", id_col: str = "id", text_col: str = "text", **options) -> DataFrame:
-    """(source_id, chunk_index, id, chunk, total_chunks); null and blank texts give no chunks."""
+    """(source_id, chunk_index, id, chunk, total_chunks); null and blank texts give no chunks. A worker
+    cuts texts of a bounded size at once."""
     cut = SPLITTERS[splitter]
 
-    @F.pandas_udf("array<string>")
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            yield series.map(lambda t: cut(t, **options) if t else [])
+    rows = docs.select(F.col(id_col).alias("source_id"), F.col(text_col).alias("text"))
+    schema = T.StructType([rows.schema["source_id"], T.StructField("parts", T.ArrayType(T.StringType()))])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches):
+            parts = [cut(t, **options) if t else [] for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["source_id"], pa.array(parts, pa.list_(pa.string()))], names=schema.names)
 
-    split = docs.select(F.col(id_col).alias("source_id"), pieces(text_col).alias("parts"))
+    split = rows.mapInArrow(pieces, schema)
     return fan_out(split, F.col("parts"))
 
 
@@ -232,7 +237,7 @@ def cosine_chunks(
         return [" ".join(c) for c in chunks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_slices(batches):
             texts = batch.column("text").to_pylist()
             cut = [split_sentences(t) for t in texts]
             several = [s for s in cut if len(s) > 1]

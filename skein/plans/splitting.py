@@ -65,10 +65,16 @@ def filled(template: str) -> F.Column:
     return text
 
 
+#: Files that one task makes and splits, about.
+TASK_FILES = 20_000
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = F.col("p_partkey") % 2 == 0
     path = F.concat(F.lit("src/part"), F.col("p_partkey").cast("string"), F.when(even, ".py").otherwise(".go"))
-    return table(spark, sf_dir, "part").select(
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name")
+    rows = rows.repartition(1 + rows.count() // TASK_FILES, "p_partkey")  # a text is many times its row
+    return rows.select(
         F.col("p_partkey").alias("id"), path.alias("file_path"), F.when(even, filled(PYTHON)).otherwise(filled(GO)).alias("text")
     )
 

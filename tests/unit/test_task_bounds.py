@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from skein.operators import search
+from skein.operators import chunking, search
 from skein.operators.batches import text_slices
 from skein.operators.lexical_store import LexicalStore
-from tests.conftest import rows_of
+from skein.plans import splitting
+from tests.conftest import SMALL, rows_of
 
 TEXTS = [(i, None if i % 11 == 0 else " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)]
 
@@ -70,3 +71,16 @@ def test_texts_are_taken_in_pieces_of_bounded_size():
     pieces = list(text_slices(iter([batch, batch.slice(0, 0), batch.slice(7, 90)]), most=500))
     assert [x for p in pieces for x in p["text"].to_pylist()] == texts + texts[7:97]
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p["text"].to_pylist()) <= 500 for p in pieces)
+
+
+def test_splitters_take_texts_in_pieces(spark):
+    docs = spark.createDataFrame([(i, "One two. " * (i % 5)) for i in range(40)] + [(90, None)], "id long, text string")
+    split = chunking.chunk(docs, "recursive", size=12, overlap=2)
+    assert "MapInArrow" in split._jdf.queryExecution().executedPlan().toString()  # which pieces need: a pandas function must answer batch by batch
+    want = [(i, c) for i in range(40) for c in chunking.recursive("One two. " * (i % 5), 12, 2)]
+    assert rows_of(split.select("source_id", "chunk")) == sorted(want, key=repr)
+
+
+def test_files_made_of_few_rows_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(splitting, "TASK_FILES", 50)
+    assert splitting.files(spark, SMALL).rdd.getNumPartitions() == 1 + 200 // 50
