@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.operators import graph
+from skein.operators.batches import parts_of
 from skein.operators.components import connected_components
 from skein.plans.registry import registry, table
 
@@ -34,11 +35,14 @@ merged AS (
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A relation for each line, dealt by its order (the chunk), so that they are merged where they meet."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer")
+    parts = parts_of(lines)
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     return (
-        lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        lines.repartition(parts, "l_orderkey")
+        .join(placed.repartition(parts, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("src"),
             F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("target"),

@@ -6,10 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from skein.operators import chunking, search
+from skein.operators import batches, chunking, graph, search
 from skein.operators.batches import text_slices
 from skein.operators.lexical_store import LexicalStore
-from skein.plans import splitting
+from skein.plans import graphs, splitting
 from tests.conftest import SMALL, rows_of
 
 TEXTS = [(i, None if i % 11 == 0 else " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)]
@@ -84,3 +84,15 @@ def test_splitters_take_texts_in_pieces(spark):
 def test_files_made_of_few_rows_are_dealt_to_tasks(spark, monkeypatch):
     monkeypatch.setattr(splitting, "TASK_FILES", 50)
     assert splitting.files(spark, SMALL).rdd.getNumPartitions() == 1 + 200 // 50
+
+
+def test_relations_are_merged_in_parts_of_bounded_size(spark, monkeypatch):
+    whole = rows_of(graph.merge_relations(graphs.relations(spark, SMALL)))
+    monkeypatch.setattr(batches, "PART_ROWS", 200)
+    rows = graphs.relations(spark, SMALL)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    parts = rows.withColumn("part", F.spark_partition_id())
+    assert lines == rows.count() and rows.rdd.getNumPartitions() >= lines / 200
+    assert parts.groupBy("chunk_id").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+    assert max(r["count"] for r in parts.groupBy("part").count().collect()) < 400
+    assert rows_of(graph.merge_relations(rows)) == whole
