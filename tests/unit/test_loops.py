@@ -117,6 +117,26 @@ def test_similar_pairs_equal_all_pairs(spark, block):
     assert rows_of(connected_components(whole)) == rows_of(connected_components(some))
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.1, 3.0])
+def test_a_forest_meets_no_pairs_within_the_largest_component(spark, spread, monkeypatch):
+    """One tight cluster, with a chain, a pair and lone vectors apart from it; a loose cluster; no cluster."""
+    from skein.operators.components import connected_components
+
+    noise = np.random.default_rng(3)
+    near = np.eye(24)[0] + spread * noise.normal(size=(300, 24))
+    chain = [np.cos(i * 0.7) * np.eye(24)[2] + np.sin(i * 0.7) * np.eye(24)[3] for i in range(3)]
+    apart = [np.eye(24)[i] for i in (5, 5, 7, 8)]
+    data = np.array([*near, *chain, *apart, near[0]])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, embedding array<double>").repartition(3)
+    whole, cells = search.similar_pairs(rows, 0.7, 20), []
+    meetings = search.meetings
+    monkeypatch.setattr(search, "meetings", lambda r, f, low, groups, *more: cells.append(low * groups) or meetings(r, f, low, groups, *more))
+    some = search.similar_pairs(rows, 0.7, 20, forest=True)
+    assert len(cells) == 2 and (spread == 3.0 or sum(cells) < 60)
+    assert rows_of(connected_components(some)) == rows_of(connected_components(whole))
+    assert some.count() <= (10 * len(data) if spread < 3.0 else whole.count())
+
+
 def test_the_index_finds_nine_of_ten(spark, tmp_path):
     rows, asked = ranking.vectors(spark, "/root/testdata/sf0.01"), ranking.vector_queries(spark, "/root/testdata/sf0.01")
     made = index.VectorIndex.build(rows)
