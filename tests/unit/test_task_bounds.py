@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from skein.operators import batches, chunking, graph, search
+from skein.operators import batches, chunking, context, graph, search
 from skein.operators.batches import text_slices
 from skein.operators.lexical_store import LexicalStore
 from skein.plans import graphs, splitting
@@ -96,3 +96,15 @@ def test_relations_are_merged_in_parts_of_bounded_size(spark, monkeypatch):
     assert parts.groupBy("chunk_id").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
     assert max(r["count"] for r in parts.groupBy("part").count().collect()) < 400
     assert rows_of(graph.merge_relations(rows)) == whole
+
+
+def test_relevance_hands_on_the_best_rows_of_each_task(spark):
+    docs = spark.createDataFrame([*TEXTS, (7, "w1 w1 w2"), (60, "w3 W16")], "id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "w1 w2 w16"), (2, "w3 w3"), (3, None), (4, "")], "query_id long, text string")
+    whole, want = rows_of(context.shared_words(docs, asked)), []
+    for query in {q for q, _, _ in whole}:
+        best = sorted((-s, i) for q, i, s in whole if q == query)[:3]
+        want += [(query, i, -s, rank + 1) for rank, (s, i) in enumerate(best)]
+    got = context.relevance(docs, asked, 3)
+    assert rows_of(got) == rows_of(context.relevance(docs, asked, 3, block=1)) == sorted(want, key=repr)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
