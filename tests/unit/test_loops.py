@@ -89,6 +89,62 @@ def test_a_long_chain_of_nodes_settles(spark):
     assert len(got) == 301 and stable({r.node: r.community for r in got}, [tuple(r) for r in chain.collect()])
 
 
+def by_rounds(spark, edges):
+    """The labels of ``graph.communities`` by plain loops over all nodes, of integer weights."""
+    from pyspark.sql import functions as F
+
+    near = {}
+    for a, b, w in edges:
+        for x, y in ((a, b), (b, a)):
+            if x != y:
+                near.setdefault(x, {})[y] = near.setdefault(x, {}).get(y, 0) + w
+    nodes = spark.createDataFrame([(x,) for x in near], "node long")
+    labels = {x: x for x in near}
+    for step in range(1000):
+        wished = {}
+        for x, own in near.items():
+            votes = {}
+            for y, w in own.items():
+                votes[labels[y]] = votes.get(labels[y], 0) + w
+            best = min(votes, key=lambda c: (-votes[c], c))
+            if votes[best] > votes.get(labels[x], 0):
+                wished[x] = best
+        if not wished:
+            return labels
+        turn = {r.node: r.h for r in nodes.select("node", F.xxhash64("node", F.lit(step)).alias("h")).collect()}
+        inside = sum(w for x in near for y, w in near[x].items() if labels[x] == labels[y])
+        new = labels | {x: c for x, c in wished.items() if turn[x] % 2 == 0}
+        if sum(w for x in near for y, w in near[x].items() if new[x] == new[y]) <= inside:
+            free = [x for x in wished if all((turn[x], x) > (turn[y], y) for y in near[x] if y in wished)]
+            new = labels | {x: wished[x] for x in free}
+        labels = new
+    raise AssertionError("no end")
+
+
+def grids():
+    """A long chain, a hub, and nodes linked at random, as three graphs."""
+    rng = np.random.default_rng(5)
+    chain = [(i, i + 1, 1) for i in range(400)]
+    hub = [(0, i, int(rng.integers(1, 4))) for i in range(1, 120)] + [(i, i + 1, 2) for i in range(1, 119) if i % 3]
+    some = [(int(a), int(b), int(w)) for a, b, w in zip(rng.integers(0, 200, 500), rng.integers(0, 200, 500), rng.integers(1, 6, 500), strict=True)]
+    return {"chain": chain, "hub": hub, "random": some}
+
+
+@pytest.mark.parametrize("kind", ["chain", "hub", "random"])
+def test_rounds_over_the_part_that_still_moves_equal_rounds_over_all(spark, kind, monkeypatch):
+    edges = grids()[kind]
+    frame, asked = spark.createDataFrame(edges, "src long, dst long, weight long"), []
+    written = graph.written
+    monkeypatch.setattr(graph, "written", lambda *a: (r := written(*a), asked.append(r[1]["nodes"]))[0])
+    monkeypatch.setattr(graph, "HUB", 50)
+    monkeypatch.setattr(graph, "SHARE", 3)
+    got = {r.node: r.community for r in graph.communities(frame, small=1).collect()}
+    assert got == by_rounds(spark, edges)
+    # no round asked all nodes once few of them would move
+    if kind == "chain":
+        assert sum(n == len(got) for n in asked) < len(asked) / 2 and min(asked) < len(got) / 10
+
+
 def test_nested_communities_refine(spark):
     rows = records.QUERIES["nested_communities"][0](spark, SMALL).collect()
     found = {}
