@@ -114,10 +114,14 @@ def latex(spark: SparkSession, path: str) -> DataFrame:
     return text_files(spark, path, "*.tex").withColumn("text", strip_latex(F.col("text")))
 
 
+#: White space of HTML. Where a reader takes ``white``, None stands for all that Unicode counts as such.
+WHITE = " \t\n\r\f"
+
+
 class _Visible(HTMLParser):
-    def __init__(self):
+    def __init__(self, white: str | None = None):
         super().__init__()
-        self.hidden, self.parts = 0, []
+        self.hidden, self.parts, self.white = 0, [], white
 
     def handle_starttag(self, tag, attrs):
         self.hidden += tag in ("script", "style")
@@ -126,37 +130,62 @@ class _Visible(HTMLParser):
         self.hidden -= tag in ("script", "style") and self.hidden > 0
 
     def handle_data(self, data):
-        if not self.hidden and data.strip():
-            self.parts.append(data.strip())
+        if not self.hidden and data.strip(self.white):
+            self.parts.append(data.strip(self.white))
 
 
-def visible_text(html: str) -> str:
-    parser = _Visible()
+def visible_text(html: str, white: str | None = None) -> str:
+    parser = _Visible(white)
     parser.feed(html)
     return " ".join(parser.parts)
 
 
-def xml_text(data: bytes) -> str:
-    """``<tag attribute="value"> text`` lines; broken XML loses its tags."""
+#: Characters that XML may not hold, not even as references.
+NOT_XML = "".join(map(chr, (*range(9), 11, 12, *range(14, 32), 0xFFFE, 0xFFFF)))
+
+
+def xml_root(data: bytes) -> ET.Element:
+    """The root of an XML file. Characters that XML may not hold are kept, by private ones in their place."""
+    try:
+        return ET.fromstring(data)
+    except ET.ParseError:
+        text = data.decode("utf-8", "replace")
+        if not re.search(f"[{NOT_XML}]", text):
+            raise
+        free = (range(at, at + len(NOT_XML)) for at in range(0xF0000, 0xFFF00, len(NOT_XML)))
+        places = next(r for r in free if not re.search(f"[{chr(r[0])}-{chr(r[-1])}]", text))
+        root = ET.fromstring(text.translate(dict(zip(map(ord, NOT_XML), places, strict=True))))
+        back = dict(zip(places, NOT_XML, strict=True))
+        for node in root.iter():
+            node.text, node.tail = (x and x.translate(back) for x in (node.text, node.tail))
+            for key, value in node.attrib.items():
+                node.attrib[key] = value.translate(back)
+        return root
+
+
+def xml_text(data: bytes, exact: bool = False) -> str:
+    """``<tag attribute="value"> text`` lines; broken XML loses its tags. ``exact`` strips white space
+    of ``WHITE`` only, and an element that holds nothing has an empty text."""
     try:
-        root = ET.fromstring(data)
+        root = xml_root(data)
     except ET.ParseError:
         return " ".join(re.sub(r"<[^>]*>", " ", data.decode("utf-8", "replace")).split())
     lines = []
     for node in root.iter():
         attributes = "".join(f' {k}="{v}"' for k, v in node.attrib.items())
-        lines.append(f"<{node.tag}{attributes}> {(node.text or '').strip()}".rstrip())
+        text = (node.text or "").strip(WHITE if exact else None)
+        lines.append(f"<{node.tag}{attributes}> {text}" if text or (exact and not len(node)) else f"<{node.tag}{attributes}>")
     return "\n".join(lines)
 
 
-def mail_text(data: bytes) -> str:
+def mail_text(data: bytes, white: str | None = None) -> str:
     message = email.message_from_bytes(data, policy=email.policy.default)
     heads = [f"{h}: {message[h]}" for h in ("From", "To", "Date", "Subject") if message[h]]
     body = message.get_body(("plain", "html"))
     text = body.get_content() if body else ""
     if body and body.get_content_type() == "text/html":
-        text = visible_text(text)
-    return "\n".join([*heads, "", text.strip()])
+        text = visible_text(text, white)
+    return "\n".join([*heads, "", text.strip(white)])
 
 
 #: What an RTF file is made of: a byte, a UTF-16 unit, a control word, a control sign, a brace, text.
@@ -167,7 +196,7 @@ RTF_WORDS = {"par": "\n", "line": "\n", "sect": "\n", "page": "\n", "tab": "\t",
              "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
 
 
-def rtf_text(data: bytes) -> str:
+def rtf_text(data: bytes, white: str | None = None) -> str:
     """The text of an RTF file, trimmed. A UTF-16 unit takes the place of the one character after it."""
     out: list[str] = []
     groups, silent, stand_in = [], False, False
@@ -192,11 +221,12 @@ def rtf_text(data: bytes) -> str:
                 said = RTF_WORDS.get(word, "")
             out.append(said)
         stand_in = bool(unit)
-    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip()
+    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace").strip(white)
 
 
-def zipped_xml_text(part: str, unit: str) -> Callable[[bytes], str]:
-    """Text of a zipped office file's parts: runs of a paragraph joined, paragraphs by a blank line."""
+def zipped_xml_text(part: str, unit: str, exact: bool = False) -> Callable[[bytes], str]:
+    """Text of a zipped office file's parts: runs of a paragraph joined, paragraphs by a blank line; blank
+    paragraphs are left out but for ``exact``."""
     import zipfile
 
     def read(data: bytes) -> str:
@@ -204,10 +234,10 @@ def zipped_xml_text(part: str, unit: str) -> Callable[[bytes], str]:
         with zipfile.ZipFile(io.BytesIO(data)) as archive:
             for name in sorted(archive.namelist()):
                 if re.fullmatch(part, name):
-                    for p in ET.fromstring(archive.read(name)).iter():
+                    for p in xml_root(archive.read(name)).iter():
                         if p.tag.endswith(unit):
                             text = "".join(t.text or "" for t in p.iter() if t.tag.endswith("}t"))
-                            if text.strip():
+                            if exact or text.strip():
                                 out.append(text)
         return "\n\n".join(out)
 
@@ -241,13 +271,13 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str], list[str]]
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         names = set(archive.namelist())
         shared = "xl/sharedStrings.xml"
-        strings = [words(e) for e in parts(ET.fromstring(archive.read(shared)), "si")] if shared in names else []
+        strings = [words(e) for e in parts(xml_root(archive.read(shared)), "si")] if shared in names else []
         links = ET.fromstring(archive.read("xl/_rels/workbook.xml.rels"))
         targets = {e.attrib["Id"]: posixpath.join("/xl", e.attrib["Target"])[1:] for e in links}
         for sheet in parts(ET.fromstring(archive.read("xl/workbook.xml")), "sheet"):
             key = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
             header: list[str] | None = None
-            for at, row in enumerate(parts(ET.fromstring(archive.read(targets[key])), "row")):
+            for at, row in enumerate(parts(xml_root(archive.read(targets[key])), "row")):
                 cells: list[str] = []
                 for place, cell in enumerate(parts(row, "c")):
                     column = sheet_column(cell.attrib["r"]) if "r" in cell.attrib else place
@@ -272,9 +302,9 @@ def workbook_rows(data: bytes) -> Iterator[tuple[str, int, list[str], list[str]]
                 yield sheet.attrib["name"], at - 1, list(header), cells + [""] * (len(header) - len(cells))
 
 
-def row_line(title: str, header: list[str], cells: list[str]) -> str:
-    """A row of a table as text, as ``table_row_text`` gives it."""
-    named = " | ".join(f"{h}: {c}" for h, c in zip(header, cells, strict=True) if c.strip())
+def row_line(title: str, header: list[str], cells: list[str], exact: bool = False) -> str:
+    """A row of a table as text, as ``table_row_text`` gives it; with empty cells if ``exact``."""
+    named = " | ".join(f"{h}: {c}" for h, c in zip(header, cells, strict=True) if exact or c.strip())
     return f"Context: {title} | Columns: [{', '.join(header)}] | Data: {named}"
 
 
@@ -314,17 +344,18 @@ def workbook_text(data: bytes) -> str:
     return "\n".join(row_line(sheet, header, cells) for sheet, _, header, cells in workbook_rows(data))
 
 
-def epub_chapters(data: bytes) -> Iterator[tuple[str, str]]:
-    """(name, text) of a book's pages in order of their names."""
+def epub_chapters(data: bytes, white: str | None = None) -> Iterator[tuple[str, str | None]]:
+    """(name, text) of a book's pages in order of their names; null for a page of no bytes."""
     import zipfile
 
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for name in sorted(n for n in archive.namelist() if n.endswith((".xhtml", ".html", ".htm"))):
-            yield name, visible_text(archive.read(name).decode("utf-8", "replace"))
+            page = archive.read(name).decode("utf-8", "replace")
+            yield name, visible_text(page, white) if page else None
 
 
 def epub_text(data: bytes) -> str:
-    return "\n\n".join(text for _, text in epub_chapters(data))
+    return "\n\n".join(text or "" for _, text in epub_chapters(data))
 
 
 #: Extension to a parser of a file's bytes. More can be added: PDF and images need libraries or
